@@ -83,8 +83,8 @@ def in_out_flows(flows: DataFrame, people: DataFrame, flow: str = "flow") -> Dat
     ``flows`` runs from ``origin`` to ``host``; ``people`` is (state, pop). Row (state1, state2) holds what state1
     receives from state2 and what it sends there.
     """
-    pair = flows.groupBy("host", "origin").agg(F.sum(flow).cast("double").alias("v"))
-    with_total = attach_group(pair, ["host"], agg=sum0("v"))
+    pair = flows.groupBy("host", "origin").agg(F.sum(flow).alias("v"))
+    with_total = attach_group(pair, ["host"], agg=sum0("v")).withColumns({c: F.col(c).cast("double") for c in ("v", "agg")})
     incoming = with_total.selectExpr("host AS state1", "origin AS state2", "v AS incoming", "agg AS incoming_agg")
     outgoing = with_total.selectExpr("origin AS state1", "host AS state2", "v AS outgoing", "agg AS outgoing_agg")
     both = incoming.join(outgoing, ["state1", "state2"], "left")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.functions import text as X
-from dyadspark.functions.nulls import col
+from dyadspark.functions.nulls import col, sum_strict
+from dyadspark.operators.codes import recode_name
 
 BORDERS = ("Geography", "Land boundaries", "border countries")
 TERRAIN = ("Geography", "Terrain")
@@ -42,3 +43,21 @@ def rank_quantity(df: DataFrame, doc: str, path: Sequence[str], keys: Sequence[s
 def almanac(df: DataFrame, doc: str, keys: Sequence[str], fields: Mapping[str, Sequence[str]]) -> DataFrame:
     """A flat row per document from named paths."""
     return df.select(*keys, *[path_text(doc, *path).alias(name) for name, path in fields.items()])
+
+
+def neighbour_lengths(
+    profiles: DataFrame, crosswalk: DataFrame, dictionary: Sequence[tuple[str, str]], overrides: Mapping | None = None
+) -> DataFrame:
+    """Border length per directed pair with the terrain of the first country.
+
+    ``crosswalk`` is (code, id). Neighbour names go through the dictionary; several pieces of one border are summed,
+    and a country without land neighbours keeps one row with NULLs.
+    """
+    known = profiles.join(crosswalk, "code").select(
+        F.col("id").alias("state1"),
+        path_text("doc", *BORDERS).alias("borders"),
+        path_text("doc", *TERRAIN).alias("terrain"),
+    )
+    rows = neighbour_rows(known, "borders", ["state1", "terrain"])
+    coded = recode_name(rows, "neighbour", dictionary, "state2", overrides)
+    return coded.groupBy("state1", "state2", "terrain").agg(sum_strict("km").alias("km"))
