@@ -79,7 +79,7 @@ def quantity(text: str | Column) -> Column:
 
 def number_text(x: str | Column, digits: int = 3) -> Column:
     """Rounded number as text without trailing zeros."""
-    fixed = F.format_string(f"%.{digits}f", col(x))
+    fixed = F.when(col(x).isNotNull(), F.format_string(f"%.{digits}f", col(x)))
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 

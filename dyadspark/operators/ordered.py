@@ -77,24 +77,31 @@ def fill_down(
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[str | Column], name: str = "row_no", running: tuple[str, str] | None = None
+) -> DataFrame:
     """Consecutive numbers 1..n in a global order (which must be unique), without a one-task window.
 
     The range-sorted table is written once so that positions cannot change on a retry; then each partition's
     offset is the sum of the sizes before it. Only one row per partition is ever brought together.
+    ``running=(column, result)`` adds the running sum of a column in the same order.
     """
     placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn(
         "_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     )
+    sums = {"_offset": F.lit(1)}
+    if running:
+        inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums["_before"] = F.col(running[0])
+        placed = placed.withColumn("_within", F.sum(running[0]).over(inside))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return (
-        placed.join(F.broadcast(offsets), "_part")  # one row per partition
-        .withColumn(name, F.col("_offset") + F.col("_pos") + 1)
-        .drop("_at", "_part", "_pos", "_offset")
-    )
+    sizes = placed.groupBy("_part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    offsets = sizes.select("_part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
+    if running:
+        numbered = numbered.withColumn(running[1], F.col("_before") + F.col("_within"))
+    return numbered.drop("_at", "_part", "_pos", "_within", *sums)
 
 
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
