@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.functions.nulls import col, safe_div
-from dyadspark.operators.ordered import attach_group, attach_total
+from dyadspark.operators.ordered import attach_group
 from dyadspark.operators.quantiles import describe_long
 
 def n_rows() -> Column:
@@ -34,8 +34,7 @@ def distinct_ends(df: DataFrame, *cols: str, name: str = "n_states") -> DataFram
 def share_within(df: DataFrame, outer: Sequence[str], inner: Sequence[str], digits: int | None = None) -> DataFrame:
     """Count per group and its percent of the outer group (of everything when ``outer`` is empty)."""
     counts = count_by(df, *outer, *inner)
-    total = F.sum("n")
-    with_total = attach_group(counts, outer, total=total) if outer else attach_total(counts, total=total)
+    with_total = attach_group(counts, outer, total=F.sum("n"))
     share = safe_div(F.col("n") * 100, F.col("total"))
     return with_total.withColumn("percent", share if digits is None else F.bround(share, digits))
 

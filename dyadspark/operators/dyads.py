@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,22 +139,28 @@ def shared_groups(members: DataFrame, group: str, member: str, share: str, minim
 def neighbour_profile(df: DataFrame, label: str, values: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Mean and median of the partner's value and of the absolute gap, by own label, with the valid pairs.
 
-    ``values`` maps a name to its (own column, partner's column).
+    ``values`` maps a name to its (own column, partner's column). All statistics are taken in one long pass.
     """
-    gaps = df.withColumns({f"_gap_{n}": F.abs(F.col(a) - F.col(b)) for n, (a, b) in values.items()})
-    parts = [df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))]
+    cells = {}
     for name, (own, other) in values.items():
-        both = F.col(own).isNotNull() & F.col(other).isNotNull()
-        parts.append(
-            gaps.groupBy(label).agg(
-                F.avg(other).alias(f"mean_{name}"),
-                F.avg(f"_gap_{name}").alias(f"mean_gap_{name}"),
-                F.count(F.when(both, 1)).alias(f"n_{name}"),
-            )
-        )
-        parts.append(exact_median(gaps, [label], other, f"median_{name}"))
-        parts.append(exact_median(gaps, [label], f"_gap_{name}", f"median_gap_{name}"))
-    return reduce(lambda a, b: join_same(a, b, [label]), parts)
+        cells |= {name: F.col(other), f"gap_{name}": F.abs(F.col(own) - F.col(other))}
+    long = df.select(label, *[c.cast("double").alias(n) for n, c in cells.items()]).unpivot(
+        [label], list(cells), "_name", "_value"
+    )
+    stats = join_same(
+        long.groupBy(label, "_name").agg(F.avg("_value").alias("mean"), F.count("_value").alias("obs")),
+        exact_median(long, [label, "_name"], "_value"),
+        [label, "_name"],
+    )
+
+    def cell(n: str, stat: str) -> Column:
+        return F.max(F.when(F.col("_name") == n, F.col(stat)))
+
+    wide = stats.groupBy(label).agg(
+        *[cell(n, s).alias(f"{s}_{n}") for n in cells for s in ("mean", "median")],
+        *[cell(f"gap_{n}", "obs").alias(f"n_{n}") for n in values],
+    )
+    return join_same(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), wide, [label])
 
 
 def direction_share(df: DataFrame, label: str, values: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dyadspark.functions.nulls import col
-from dyadspark.session import materialize
+from dyadspark.session import materialize, stored
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -32,14 +32,17 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+def attach_group(df: DataFrame, keys: Sequence[str], few: bool = False, **aggs: Column) -> DataFrame:
     """Group aggregates put on every row of the group.
 
     Aggregate-then-join instead of a window: the aggregation combines map-side, and the join back is broadcast
     or split by the adaptive skew handling, so a group that holds a third of the rows is never read by one task.
+    With ``few`` groups (categories, years) the summary is stored first, which spares the shuffle of the rows.
     """
+    if not keys:
+        return attach_total(df, **aggs)
     summary = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_same(df, summary, keys)
+    return join_same(df, stored(summary) if few else summary, keys)
 
 
 def attach_total(df: DataFrame, **aggs: Column) -> DataFrame:

@@ -10,61 +10,72 @@ from pyspark.sql.window import Window
 
 from dyadspark.functions.nulls import col
 from dyadspark.operators.ordered import join_same
+from dyadspark.session import stored
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str | Column, name: str = "median", bins: int = 1024, rounds: int = 2
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str | Column,
+    name: str = "median",
+    bins: int = 4096,
+    enough: int = 1_000_000,
+    rounds: int = 8,
 ) -> DataFrame:
     """Exact median per group, NULL values ignored.
 
-    Built-in exact percentiles keep every distinct value of a group in the memory of one task. Here values are
-    counted first, then the range that must hold the median is narrowed by histograms (``bins`` rows per group
-    and round); only the values inside the last range are put in order. Bin numbers grow with the value, so the
-    result is exact for any distribution.
+    Built-in exact percentiles keep every distinct value of a group in the memory of one task. Here the range that
+    must hold the median is narrowed by histograms until no group has more than ``enough`` rows left in it; only
+    those are put in order. Each round is one pass with map-side counting (at most ``bins`` rows per group are
+    shuffled), and groups that are small from the start need none. Bin numbers grow with the value, so the result
+    is exact for any distribution; heavy repetition ends in a range of one value.
     """
-    counts = (
-        df.select(*keys, col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"), F.lit(0).alias("_below")
+    data = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    span = stored(
+        data.groupBy(*keys).agg(
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.count(F.lit(1)).alias("_all"),
+            F.lit(0).cast("bigint").alias("_below"),
+            F.count(F.lit(1)).alias("_inside"),
+        )
     )
     low_rank, high_rank = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
     holds = (F.col("_until") >= low_rank) & (F.col("_until") - F.col("_n") < high_rank)
     upto = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def inside(limits: DataFrame) -> DataFrame:
-        return join_same(counts, limits, keys, "inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        return join_same(data, limits, keys, "inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
     for _ in range(rounds):
-        width = F.col("_hi") - F.col("_lo")
-        place = F.floor((F.col("_v") - F.col("_lo")) / width * bins)
-        bin_no = F.when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(0)
+        wide = (F.col("_inside") > enough) & (F.col("_lo") < F.col("_hi"))
+        if span.where(wide).isEmpty():
+            break
+        place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+        bin_no = F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins - 1))).otherwise(0)
         hist = (
             inside(span)
-            .groupBy(*keys, bin_no.alias("_bin"))
-            .agg(
-                F.sum("_n").alias("_n"),
-                F.min("_v").alias("_min"),
-                F.max("_v").alias("_max"),
-                F.first("_all").alias("_all"),
-                F.first("_below").alias("_below"),
-            )
+            .groupBy(*keys, "_all", "_below", bin_no.alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
             .withColumn("_until", F.col("_below") + F.sum("_n").over(upto.orderBy("_bin")))
         )
-        span = (
+        span = stored(
             hist.where(holds)
-            .groupBy(*keys)
+            .groupBy(*keys, "_all")
             .agg(
                 F.min("_min").alias("_lo"),
                 F.max("_max").alias("_hi"),
-                F.first("_all").alias("_all"),
                 F.min(F.col("_until") - F.col("_n")).alias("_below"),
+                F.sum("_n").alias("_inside"),
             )
         )
-    last = inside(span).withColumn("_until", F.col("_below") + F.sum("_n").over(upto.orderBy("_v"))).where(holds)
+    last = (
+        inside(span)
+        .groupBy(*keys, "_all", "_below", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_until", F.col("_below") + F.sum("_n").over(upto.orderBy("_v")))
+        .where(holds)
+    )
     return last.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
 
 

@@ -79,14 +79,14 @@ shares AS (SELECT grp, state, q / sum(q) OVER (PARTITION BY grp) AS share FROM m
 
 def members(t):
     """Groups (orders) with the countries that hold a part of them and the size of that part."""
-    from dyadspark.operators.ordered import attach_group
-
     held = (
         t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .groupBy(F.col("l_orderkey").alias("grp"), F.col("s_nationkey").alias("state"))
         .agg(F.sum("l_quantity").alias("q"))
     )
-    return attach_group(held, ["grp"], total=F.sum("q")).select("grp", "state", (F.col("q") / F.col("total")).alias("share"))
+    # one entry per country, so at most as many as there are country codes
+    listed = held.groupBy("grp").agg(F.collect_list(F.struct("state", "q")).alias("m"), F.sum("q").alias("total"))
+    return listed.select("grp", "total", F.inline("m")).select("grp", "state", (F.col("q") / F.col("total")).alias("share"))
 
 
 @query(

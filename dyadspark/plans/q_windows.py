@@ -101,7 +101,7 @@ def win_filldown(t):
       median(p_retailprice) OVER (PARTITION BY p_type) AS median FROM part""",
 )
 def win_group_median(t):
-    rows = O.attach_group(t.part.select("p_partkey", "p_type", "p_retailprice"), ["p_type"], mean=F.avg("p_retailprice"))
+    rows = O.attach_group(t.part.select("p_partkey", "p_type", "p_retailprice"), ["p_type"], few=True, mean=F.avg("p_retailprice"))
     rows = O.join_same(rows, exact_median(t.part, ["p_type"], "p_retailprice"), ["p_type"])
     return rows.select("p_partkey", F.round("mean", 4).alias("mean"), "median")
 
@@ -113,7 +113,7 @@ def win_group_median(t):
 )
 def win_group_mean(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.year("l_shipdate").alias("year"))
-    rows = O.attach_group(rows, ["l_returnflag", "year"], mean=F.avg("l_quantity"))
+    rows = O.attach_group(rows, ["l_returnflag", "year"], few=True, mean=F.avg("l_quantity"))
     return rows.select("l_orderkey", "l_linenumber", F.round("mean", 4).alias("mean"))
 
 

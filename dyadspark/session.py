@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "dyadspark", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,7 +45,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dyadspark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df):
+def stored(df: DataFrame) -> DataFrame:
+    """A small summary written to the shared folder and read back.
+
+    Spark then knows its true size, so its own threshold decides whether a join may broadcast it, and the large side
+    of that join is not shuffled just because the size of a summary could not be told beforehand.
+    """
+    path = scratch_path(df.sparkSession, "summary")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from the written copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
