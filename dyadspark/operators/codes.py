@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.functions.nulls import col
 from dyadspark.operators.ordered import first_per_group, join_same
+from dyadspark.session import stored
 
 
 def literal_map(values: Mapping) -> Column:
@@ -44,7 +45,7 @@ def recode_name(
 ) -> DataFrame:
     """Free-text names to codes; each distinct name is matched against the dictionary once."""
     codes = df.select(c).distinct().withColumn(name, name_code(c, dictionary, overrides))
-    return join_same(df, codes, [c])
+    return join_same(df, stored(codes), [c])
 
 
 def unmatched(df: DataFrame, c: str, crosswalk: DataFrame, origin: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dyadspark.functions.nulls import col, flag, row_max, row_min, safe_div, sum0
 from dyadspark.operators.ordered import attach_group, first_per_group, join_same
 from dyadspark.operators.quantiles import exact_median
+from dyadspark.session import stored
 
 
 def dyad_key(a: str | Column, b: str | Column) -> Column:
@@ -47,7 +48,7 @@ def trade_panel(flows: DataFrame, names: DataFrame) -> DataFrame:
 
     ``flows`` (state1, state2, year, flow) is reduced to pairs x years before anything else happens.
     """
-    undirected = (
+    undirected = stored(
         flows.where(F.col("state1") != F.col("state2"))
         .groupBy("year", F.least("state1", "state2").alias("a"), F.greatest("state1", "state2").alias("b"))
         .agg(
@@ -82,7 +83,7 @@ def in_out_flows(flows: DataFrame, people: DataFrame, flow: str = "flow") -> Dat
     ``flows`` runs from ``origin`` to ``host``; ``people`` is (state, pop). Row (state1, state2) holds what state1
     receives from state2 and what it sends there.
     """
-    pair = flows.groupBy("host", "origin").agg(F.sum(flow).alias("v"))
+    pair = stored(flows.groupBy("host", "origin").agg(F.sum(flow).alias("v")))
     with_total = attach_group(pair, ["host"], agg=sum0("v")).withColumns({c: F.col(c).cast("double") for c in ("v", "agg")})
     incoming = with_total.selectExpr("host AS state1", "origin AS state2", "v AS incoming", "agg AS incoming_agg")
     outgoing = with_total.selectExpr("origin AS state1", "host AS state2", "v AS outgoing", "agg AS outgoing_agg")
@@ -147,11 +148,7 @@ def neighbour_profile(df: DataFrame, label: str, values: Mapping[str, tuple[str,
     long = df.select(label, *[c.cast("double").alias(n) for n, c in cells.items()]).unpivot(
         [label], list(cells), "_name", "_value"
     )
-    stats = join_same(
-        long.groupBy(label, "_name").agg(F.avg("_value").alias("mean"), F.count("_value").alias("obs")),
-        exact_median(long, [label, "_name"], "_value"),
-        [label, "_name"],
-    )
+    stats = exact_median(long, [label, "_name"], "_value", mean=F.avg("_v"), obs=F.count("_v"))
 
     def cell(n: str, stat: str) -> Column:
         return F.max(F.when(F.col("_name") == n, F.col(stat)))

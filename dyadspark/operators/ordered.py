@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dyadspark.functions.nulls import col
-from dyadspark.session import materialize, stored
+from dyadspark.session import stored
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -89,7 +89,7 @@ def number_rows(
     offset is the sum of the sizes before it. Only one row per partition is ever brought together.
     ``running=(column, result)`` adds the running sum of a column in the same order.
     """
-    placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn(
         "_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     )
@@ -113,6 +113,12 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(ids, key, "left")
 
 
+def first_and_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """A value at the first and at the last row of each group, combined map-side."""
+    at = F.struct(*order)
+    return df.groupBy(*keys).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
+
+
 def latest_if(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cond: Column) -> DataFrame:
     """The latest record per group, kept only if that very record satisfies the condition."""
     return first_per_group(df, keys, order).where(cond)
@@ -120,8 +126,9 @@ def latest_if(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cond:
 
 def later_or_single(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Drop the first row of each group with several rows; groups of one row stay."""
-    marked = attach_group(df, keys, _n=F.count(F.lit(1)), _first=F.min(F.struct(*order)))
-    return marked.where((F.col("_n") == 1) | (F.struct(*order) > F.col("_first"))).drop("_n", "_first")
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    marked = attach_group(df, keys, _n=F.count(F.lit(1)), _first=F.min(at))
+    return marked.where((F.col("_n") == 1) | (at > F.col("_first"))).drop("_n", "_first")
 
 
 def extremes(df: DataFrame, order: str, tie: Sequence[str]) -> DataFrame:
@@ -141,14 +148,11 @@ def label_blocks(df: DataFrame, order: str, label: str, parts: Sequence[str], na
     """Rows come in blocks of ``len(parts)``; each row gets the label of its block's first row and its part name."""
     size = len(parts)
     at = F.col(order) - 1
-    heads = df.where(F.pmod(at, F.lit(size)) == 0).select(
-        F.floor(at / size).alias("_block"), F.col(label).alias("_label")
-    )
+    block = Window.partitionBy("_block").orderBy(order)  # never more rows than parts
     names = F.array(*[F.lit(p) for p in parts])
     return (
         df.withColumn("_block", F.floor(at / size))
-        .join(heads, "_block")
-        .withColumn(label, F.col("_label"))
+        .withColumn(label, F.first(label).over(block))
         .withColumn(name, F.get(names, F.pmod(at, F.lit(size)).cast("int")))
-        .drop("_block", "_label")
+        .drop("_block")
     )

@@ -82,14 +82,17 @@ def country_year_panel(
     shares: DataFrame,
     checks: DataFrame,
 ) -> DataFrame:
-    """Country-year panel: applications, rates, per 1000 people, event counts, carried-forward party share."""
+    """Country-year panel: applications, rates, per 1000 people, event counts, carried-forward party share.
+
+    ``lawsuits`` and ``checks`` are event counts (state, year, n); years without an entry count zero.
+    """
     keys = ["state", "year"]
     panel = applicants.join(decisions, keys, "left").join(population, "state", "left")
     panel = panel.withColumn("per1000", half_even(safe_div("applicants", F.col("pop") / 1000), 2))
-    panel = left_fill(panel, lawsuits.groupBy(*keys).agg(n_rows().alias("lawsuits")), keys, {"lawsuits": 0})
+    panel = left_fill(panel, lawsuits.withColumnRenamed("n", "lawsuits"), keys, {"lawsuits": 0})
     carried = fill_down(panel.select(*keys).join(shares, keys, "full"), "year", ["right_share"], ["state"])
     panel = panel.join(carried, keys, "left")
-    return left_fill(panel, checks.groupBy(*keys).agg(n_rows().alias("checks")), keys, {"checks": 0})
+    return left_fill(panel, checks.withColumnRenamed("n", "checks"), keys, {"checks": 0})
 
 
 def base_group(panel: DataFrame, key: str, period: str, base: int, rule: Column, name: str = "group") -> DataFrame:

@@ -21,25 +21,30 @@ def exact_median(
     bins: int = 4096,
     enough: int = 1_000_000,
     rounds: int = 8,
+    **also: Column,
 ) -> DataFrame:
-    """Exact median per group, NULL values ignored.
+    """Exact median per group, NULL values ignored; NULL for a group without values.
 
     Built-in exact percentiles keep every distinct value of a group in the memory of one task. Here the range that
     must hold the median is narrowed by histograms until no group has more than ``enough`` rows left in it; only
     those are put in order. Each round is one pass with map-side counting (at most ``bins`` rows per group are
     shuffled), and groups that are small from the start need none. Bin numbers grow with the value, so the result
-    is exact for any distribution; heavy repetition ends in a range of one value.
+    is exact for any distribution; heavy repetition ends in a range of one value. Other aggregates over the column
+    ``_v`` can be taken ``also`` in the first pass.
     """
-    data = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    span = stored(
+    data = df.select(*keys, col(value).cast("double").alias("_v"))
+    first = stored(
         data.groupBy(*keys).agg(
             F.min("_v").alias("_lo"),
             F.max("_v").alias("_hi"),
-            F.count(F.lit(1)).alias("_all"),
+            F.count("_v").alias("_all"),
             F.lit(0).cast("bigint").alias("_below"),
-            F.count(F.lit(1)).alias("_inside"),
+            F.count("_v").alias("_inside"),
+            *[a.alias(n) for n, a in also.items()],
         )
     )
+    span = first.drop(*also)
+    data = data.where(F.col("_v").isNotNull())
     low_rank, high_rank = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
     holds = (F.col("_until") >= low_rank) & (F.col("_until") - F.col("_n") < high_rank)
     upto = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -76,17 +81,13 @@ def exact_median(
         .withColumn("_until", F.col("_below") + F.sum("_n").over(upto.orderBy("_v")))
         .where(holds)
     )
-    return last.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    medians = last.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name))
+    return join_same(first.select(*keys, *also), medians, keys)
 
 
 def describe_long(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
     """Mean, standard deviation, median, minimum, maximum and number of valid values per group."""
-    v = col(value).cast("double")
-    basic = df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("sd"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.count(v).alias("obs"),
+    v = F.col("_v")
+    return exact_median(
+        df, keys, value, mean=F.avg(v), sd=F.stddev_samp(v), min=F.min(v), max=F.max(v), obs=F.count(v)
     )
-    return join_same(basic, exact_median(df, keys, value), keys)

@@ -12,11 +12,12 @@ from dyadspark.functions.nulls import percent
 from dyadspark.operators.aggregates import add_total_row, with_world
 from dyadspark.operators.ordered import attach_group, label_blocks
 from dyadspark.operators.reshape import longer, split_columns, wider
+from dyadspark.session import stored
 
 
 def distribution(df: DataFrame, region: str, kind: str, regions: Sequence[str], world: str = "World", digits: int = 1) -> DataFrame:
     """Percent of each kind per region and over all, regions in columns."""
-    counts = attach_group(with_world(df, region, kind, world), [region], total=F.sum("n"))
+    counts = attach_group(stored(with_world(df, region, kind, world)), [region], total=F.sum("n"))
     shares = counts.withColumn("percent", F.bround(percent("n", "total"), digits))
     return wider(shares, [kind], region, "percent", [*regions, world], fill=0.0)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyadspark.functions.nulls import money
 from dyadspark.operators.ordered import first_per_group
 from dyadspark.plans.registry import Tables
+from dyadspark.session import stored
 
 SHIPMENTS_SQL = """
 ship AS (SELECT s_nationkey AS state1, c_nationkey AS state2, CAST(year(o_orderdate) AS INT) AS year, o_orderkey,
@@ -75,21 +76,28 @@ def info(t: Tables) -> DataFrame:
     return nation.join(cust, "state", "left").join(supp, "state", "left")
 
 
-def dyads(t: Tables) -> DataFrame:
+def kinds(t: Tables) -> DataFrame:
+    """Shipments counted by pair, year and label, in one pass over the facts; at most pairs x years x labels rows."""
+    return stored(
+        shipments(t).groupBy("state1", "state2", "year", "typology").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def dyads(t: Tables, counted: DataFrame | None = None) -> DataFrame:
     """Directed pairs of different countries with their most frequent label."""
-    kinds = (
-        shipments(t)
+    per_label = (
+        (counted if counted is not None else shipments(t).withColumn("n", F.lit(1)))
         .where(F.col("state1") != F.col("state2"))
         .groupBy("state1", "state2", "typology")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
-    best = first_per_group(kinds, ["state1", "state2"], [F.desc("n"), F.asc("typology")])
+    best = first_per_group(per_label, ["state1", "state2"], [F.desc("n"), F.asc("typology")])
     return best.select("state1", "state2", "typology")
 
 
 def full_dyads(t: Tables) -> DataFrame:
     """Typed pairs with the attributes of both ends."""
-    attrs = info(t)
+    attrs = stored(info(t))  # one row per country, used for both ends
 
     def end(n: int) -> DataFrame:
         return attrs.select(

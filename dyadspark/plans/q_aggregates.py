@@ -202,10 +202,8 @@ def _order_regions(t):
       WHERE f.a = 1 AND l.z = 1""",
 )
 def agg_first_last(t):
-    at = F.struct("o_orderdate", "o_orderkey")
-    return t.orders.groupBy("o_custkey").agg(
-        F.min(at)["o_orderkey"].alias("first_order"), F.max(at)["o_orderkey"].alias("last_order")
-    )
+    ends = O.first_and_last(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
+    return ends.withColumnsRenamed({"first": "first_order", "last": "last_order"})
 
 
 @query("agg_rowcount", "WITH " + B.FLOWS_SQL + " SELECT count(*) AS n_borders, count(DISTINCT state1) AS n_states FROM flows")

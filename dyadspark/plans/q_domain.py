@@ -15,7 +15,7 @@ from dyadspark.plans.q_aggregates import _order_regions
 from dyadspark.plans.q_codes import PANEL_SQL
 from dyadspark.plans.q_columns import LEVELS
 from dyadspark.plans.registry import query
-from dyadspark.session import materialize
+from dyadspark.session import stored
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -69,7 +69,7 @@ def incident_panel(t):
 )
 def in_out_flows(t):
     year = B.flows(t).where(F.col("year") == 1998).select(F.col("state2").alias("host"), F.col("state1").alias("origin"), "flow")
-    both = D.in_out_flows(year, B.info(t).select("state", "pop"))
+    both = D.in_out_flows(year, stored(B.info(t).select("state", "pop")))
     rounded = ["incoming_pc", "incoming_agg_pc", "outgoing_pc", "incoming_log", "outgoing_agg_pc_log"]
     return both.select(
         "state1", "state2", "incoming", "incoming_agg", "outgoing", "outgoing_agg", *[F.round(c, 4).alias(c) for c in rounded]
@@ -85,7 +85,7 @@ def in_out_flows(t):
     SELECT f.state1, f.state2, f.year, distance FROM flows f LEFT JOIN one ON dyad = f.state1 || '_' || f.state2""",
 )
 def mirror_dedup_join(t):
-    flows = materialize(B.flows(t))  # a few rows per pair and year, used twice
+    flows = stored(B.flows(t))  # a few rows per pair and year, used twice
     directed = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("_"), F.col(b).cast("string"))
     geo = flows.where(F.col("state1") < F.col("state2")).select("state1", "state2", "year", F.col("flow").cast("double").alias("distance"))
     one = O.first_per_group(
@@ -104,7 +104,7 @@ def mirror_dedup_join(t):
       count(polity1 + polity2) AS n_polity FROM full_dyads GROUP BY 1""",
 )
 def neighbour_profile(t):
-    pairs = materialize(B.full_dyads(t))  # one row per pair of countries
+    pairs = stored(B.full_dyads(t))  # one row per pair of countries
     prof = D.neighbour_profile(pairs, "typology", {"wealth": ("wealth1", "wealth2"), "polity": ("polity1", "polity2")})
     return prof.withColumns({c: F.round(c, 4) for c in prof.columns if "wealth" in c and not c.startswith("n_") or c.startswith("mean")})
 
@@ -154,9 +154,9 @@ barriers AS (SELECT state1, state2, CAST(year AS VARCHAR) AS year, 'wall' AS ind
   UNION ALL SELECT state1, state2, NULL, 'barrier', 'low' FROM kinds WHERE typology = '5-LOW' AND year = 1997)"""
 
 
-def barrier_sources(t):
+def barrier_sources(t, kinds=None):
     """Three differently shaped lists of barriers in the common form."""
-    kinds = materialize(A.count_by(B.shipments(t), "state1", "state2", "year", "typology"))  # at most pairs x years x labels
+    kinds = B.kinds(t) if kinds is None else kinds
     one = kinds.where(F.col("typology") == "1-URGENT").selectExpr("state1 AS builder", "state2 AS target", "year AS begin")
     two = kinds.where((F.col("typology") == "2-HIGH") & (F.col("state1") < F.col("state2"))).selectExpr("state1 AS a", "state2 AS b", "year + 1 AS y")
     three = kinds.where((F.col("typology") == "5-LOW") & (F.col("year") == 1997))
@@ -184,9 +184,10 @@ def source_union(t):
       ELSE coalesce(h, u) END AS built FROM (SELECT DISTINCT state1, state2 FROM kinds WHERE n >= 3) p LEFT JOIN y USING (state1, state2)""",
 )
 def best_source_year(t):
-    strong = A.count_by(B.shipments(t), "state1", "state2", "year", "typology").where(F.col("n") >= 3)
+    kinds = B.kinds(t)
+    strong = kinds.where(F.col("n") >= 3)
     patches = [{"state1": 1, "state2": 2, "built": 1901}, {"state1": 3, "state2": 4, "built": None}]
-    barriers = P.union_sources(barrier_sources(t))
+    barriers = P.union_sources(barrier_sources(t, kinds))
     return P.best_source_year(strong.select("state1", "state2").distinct(), barriers, ["low", "urgent", "high"], patches)
 
 
@@ -223,26 +224,34 @@ panel AS (SELECT a.state, a.year, applicants, round((total - positive) * 100.0 /
 
 def country_years(t):
     """The country-year panel on orders: applications, decisions by status, large orders as elections."""
-    o = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("c_nationkey").alias("state"),
-        F.year("o_orderdate").alias("year"),
-        F.month("o_orderdate").alias("month"),
-        F.col("o_orderstatus").alias("s"),
-        F.col("o_orderpriority").alias("p"),
-        N.money("o_totalprice").alias("v"),
+    value = N.money("o_totalprice")
+    o = stored(  # one pass over the orders; at most countries x months x labels rows
+        t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+        .groupBy(
+            F.col("c_nationkey").alias("state"),
+            F.year("o_orderdate").alias("year"),
+            F.month("o_orderdate").alias("month"),
+            F.col("o_orderstatus").alias("s"),
+            F.col("o_orderpriority").alias("p"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(value > 480000, value)).alias("large"))
     )
     keys = ["state", "year"]
+
+    def total(df, name="n"):
+        return df.groupBy(*keys).agg(F.sum("n").alias(name))
+
     kind = F.explode(F.array(F.lit("total"), F.when(F.col("s") == "F", "positive").when(F.col("s") == "P", "rejected")))
-    decisions = o.select(*keys, kind.alias("decision")).dropna().groupBy(*keys, "decision").agg(F.count(F.lit(1)).alias("value"))
+    decisions = o.select(*keys, kind.alias("decision"), "n").dropna().groupBy(*keys, "decision").agg(F.sum("n").alias("value"))
     day = F.make_date("year", F.when(F.col("month") > 6, 9).otherwise(3), F.lit(1))
-    elections = o.where(F.col("v") > 480000).select("state", day.alias("day"), F.col("v").alias("share"), F.col("p").alias("position"))
+    elections = o.where(F.col("large").isNotNull()).select("state", day.alias("day"), F.col("large").alias("share"), F.col("p").alias("position"))
     return P.country_year_panel(
-        A.count_by(o, *keys, name="applicants"),
+        total(o, "applicants"),
         P.decision_rates(decisions, keys, "total", "positive", "rejected"),
         B.info(t).select("state", "pop"),
-        o.where(F.col("p") == "1-URGENT"),
+        total(o.where(F.col("p") == "1-URGENT")),
         P.party_share(elections, "3"),
-        o.where((F.col("p") == "5-LOW") & (F.col("s") == "P")),
+        total(o.where((F.col("p") == "5-LOW") & (F.col("s") == "P"))),
     )
 
 
@@ -317,7 +326,7 @@ def route_flows(t):
     SELECT routes, year, CAST(crossings AS DOUBLE) AS crossings FROM n WHERE year BETWEEN 1995 AND 2000""",
 )
 def wide_merge_long(t):
-    counts = A.count_by(t.orders.withColumn("year", F.year("o_orderdate")), "o_orderpriority", "year")
+    counts = stored(A.count_by(t.orders.withColumn("year", F.year("o_orderdate")), "o_orderpriority", "year"))
     name = F.concat("o_orderpriority", F.lit(" route (all)")).alias("routes")
 
     def report(years):
@@ -348,8 +357,9 @@ def boundary_attr_join(t):
       JOIN info b ON b.state = f.state2 LEFT JOIN dyads d ON d.state1 = f.state1 AND d.state2 = f.state2 WHERE a.region = 0 OR b.region = 0""",
 )
 def region_subset(t):
-    pairs = D.add_both_ends(B.flows(t).select("state1", "state2", "year"), t.nation, "n_nationkey", {"n_regionkey": "region"})
-    one = D.region_subset(pairs, B.dyads(t), [0], [F.asc("year")])
+    kinds = B.kinds(t)
+    pairs = D.add_both_ends(kinds.select("state1", "state2", "year").distinct(), t.nation, "n_nationkey", {"n_regionkey": "region"})
+    one = D.region_subset(pairs, B.dyads(t, kinds), [0], [F.asc("year")])
     return one.select("state1", "state2", F.col("year").alias("first_year"), "typology", "region1", "region2")
 
 

@@ -10,6 +10,7 @@ from dyadspark.operators import reshape as R
 from dyadspark.plans import base as B
 from dyadspark.plans.q_columns import LEVELS
 from dyadspark.plans.registry import query
+from dyadspark.session import stored
 
 
 @query(
@@ -127,7 +128,7 @@ def pivot_by_source(t):
     SELECT state1, state2, year, n, pop1, pop2 FROM p UNION ALL SELECT state2, state1, year, n, pop2, pop1 FROM p""",
 )
 def mirror_dyads(t):
-    pairs = D.add_both_ends(B.flows(t).select("state1", "state2", "year", "n"), B.info(t), "state", {"pop": "pop"})
+    pairs = D.add_both_ends(B.flows(t).select("state1", "state2", "year", "n"), stored(B.info(t)), "state", {"pop": "pop"})
     return D.mirror(pairs, [("state1", "state2"), ("pop1", "pop2")])
 
 

@@ -9,6 +9,7 @@ from dyadspark.operators.dyads import dyad_key, flag_latest
 from dyadspark.operators.quantiles import exact_median
 from dyadspark.plans import base as B
 from dyadspark.plans.registry import query
+from dyadspark.session import stored
 
 
 @query(
@@ -202,8 +203,8 @@ def win_dup_report(t):
       FROM pairs p LEFT JOIN kept k ON k.state1 = p.state1 AND k.state2 = p.state2""",
 )
 def latest_flag(t):
-    ship = B.shipments(t)
     # ties on the order are rows of one order and agree in every column used here
-    recent = O.latest_if(ship, ["state1", "state2"], [F.desc("o_orderkey")], F.col("year") >= 1998)
+    last = stored(O.first_per_group(B.shipments(t), ["state1", "state2"], [F.desc("o_orderkey")]))
+    recent = last.where(F.col("year") >= 1998)
     recent = recent.select("state1", "state2", F.col("year").alias("last_year"), F.col("typology").alias("outcome"))
-    return flag_latest(ship.select("state1", "state2").distinct(), recent, ["state1", "state2"], "recent")
+    return flag_latest(last.select("state1", "state2"), recent, ["state1", "state2"], "recent")

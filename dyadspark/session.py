@@ -46,17 +46,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A small summary written to the shared folder and read back.
+    """A table written to the shared folder and read back.
 
-    Spark then knows its true size, so its own threshold decides whether a join may broadcast it, and the large side
-    of that join is not shuffled just because the size of a summary could not be told beforehand.
+    Used to cut lineage between steps, to fix positions before they are used, and for summaries: Spark then knows the
+    true size, so its own threshold decides whether a join may broadcast the table, and the large side of that join is
+    not shuffled just because the size could not be told beforehand. The data survive the loss of any executor.
     """
-    path = scratch_path(df.sparkSession, "summary")
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
