@@ -15,15 +15,19 @@ BORDERS = ("Geography", "Land boundaries", "border countries")
 TERRAIN = ("Geography", "Terrain")
 
 
+def value_at(doc: str | Column, *path: str) -> Column:
+    """Text of the value below a path of keys (blanks allowed in keys); NULL if any step is missing."""
+    return F.variant_get(col(doc), "$" + "".join(f"['{p}']" for p in path), "string")
+
+
 def path_text(doc: str | Column, *path: str) -> Column:
-    """The ``text`` leaf below a path of keys (blanks allowed in keys); NULL if any step is missing."""
-    steps = "".join(f"['{p}']" for p in (*path, "text"))
-    return F.variant_get(col(doc), "$" + steps, "string")
+    """The ``text`` leaf below a path of keys."""
+    return value_at(doc, *path, "text")
 
 
 def where_path(df: DataFrame, doc: str, path: Sequence[str], pattern: str) -> DataFrame:
-    """Documents whose text at a path matches a pattern."""
-    return df.where(path_text(doc, *path).rlike(pattern))
+    """Documents whose value at a full path matches a pattern."""
+    return df.where(value_at(doc, *path).rlike(pattern))
 
 
 def neighbour_rows(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:

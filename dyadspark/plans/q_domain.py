@@ -59,7 +59,7 @@ def incident_panel(t):
 @query(
     "in_out_flows",
     "WITH " + B.INFO_SQL + "," + B.FLOWS_SQL + """,
-    v AS (SELECT state2 AS host, state1 AS origin, CAST(sum(flow) AS DOUBLE) AS v FROM flows WHERE year = 1998 GROUP BY ALL),
+    v AS (SELECT state2 AS host, state1 AS origin, CAST(sum(flow) AS DOUBLE) AS v FROM flows GROUP BY ALL),
     w AS (SELECT host, origin, v, CAST(sum(CAST(v AS DECIMAL(28,2))) OVER (PARTITION BY host) AS DOUBLE) AS agg FROM v)
     SELECT i.host AS state1, i.origin AS state2, i.v AS incoming, i.agg AS incoming_agg, o.v AS outgoing, o.agg AS outgoing_agg,
       round(i.v / a.pop, 4) AS incoming_pc, round(i.agg / a.pop, 4) AS incoming_agg_pc, round(o.v / b.pop, 4) AS outgoing_pc,
@@ -68,8 +68,8 @@ def incident_panel(t):
     LEFT JOIN info a ON a.state = i.host LEFT JOIN info b ON b.state = i.origin""",
 )
 def in_out_flows(t):
-    year = B.flows(t).where(F.col("year") == 1998).select(F.col("state2").alias("host"), F.col("state1").alias("origin"), "flow")
-    both = D.in_out_flows(year, stored(B.info(t).select("state", "pop")))
+    moves = B.flows(t).select(F.col("state2").alias("host"), F.col("state1").alias("origin"), "flow")
+    both = D.in_out_flows(moves, stored(B.info(t).select("state", "pop")))
     rounded = ["incoming_pc", "incoming_agg_pc", "outgoing_pc", "incoming_log", "outgoing_agg_pc_log"]
     return both.select(
         "state1", "state2", "incoming", "incoming_agg", "outgoing", "outgoing_agg", *[F.round(c, 4).alias(c) for c in rounded]
@@ -151,7 +151,7 @@ SOURCES_SQL = KINDS_SQL + """,
 barriers AS (SELECT state1, state2, CAST(year AS VARCHAR) AS year, 'wall' AS indicator, 'urgent' AS source FROM kinds WHERE typology = '1-URGENT'
   UNION ALL SELECT state1, state2, CAST(year + 1 AS VARCHAR), 'fence', 'high' FROM kinds WHERE typology = '2-HIGH' AND state1 < state2
   UNION ALL SELECT state2, state1, CAST(year + 1 AS VARCHAR), 'fence', 'high' FROM kinds WHERE typology = '2-HIGH' AND state1 < state2
-  UNION ALL SELECT state1, state2, NULL, 'barrier', 'low' FROM kinds WHERE typology = '5-LOW' AND year = 1997)"""
+  UNION ALL SELECT state1, state2, NULL, 'barrier', 'low' FROM kinds WHERE typology = '5-LOW')"""
 
 
 def barrier_sources(t, kinds=None):
@@ -159,7 +159,7 @@ def barrier_sources(t, kinds=None):
     kinds = B.kinds(t) if kinds is None else kinds
     one = kinds.where(F.col("typology") == "1-URGENT").selectExpr("state1 AS builder", "state2 AS target", "year AS begin")
     two = kinds.where((F.col("typology") == "2-HIGH") & (F.col("state1") < F.col("state2"))).selectExpr("state1 AS a", "state2 AS b", "year + 1 AS y")
-    three = kinds.where((F.col("typology") == "5-LOW") & (F.col("year") == 1997))
+    three = kinds.where(F.col("typology") == "5-LOW")
     return [
         P.harmonise(one, "urgent", "builder", "target", "begin", "wall"),
         P.harmonise(D.mirror(two, [("a", "b")]), "high", "a", "b", "y", "fence"),
@@ -367,12 +367,12 @@ def region_subset(t):
     "settled_pairs",
     "WITH " + B.SHIPMENTS_SQL + """, c AS (SELECT CASE WHEN state1 = 7 THEN 'OVER_7' ELSE a.n_name END AS s1, CASE WHEN state2 = 7 THEN 'OVER_7' ELSE b.n_name
       END AS s2, state1 * 100 + state2 AS dyad, o_orderkey, typology FROM ship LEFT JOIN nation a ON a.n_nationkey = state1 AND a.n_regionkey <> 4
-      LEFT JOIN nation b ON b.n_nationkey = state2 AND b.n_regionkey <> 4 WHERE year = 2001 AND state1 < state2),
+      LEFT JOIN nation b ON b.n_nationkey = state2 AND b.n_regionkey <> 4 WHERE state1 < state2),
     last AS (SELECT * FROM c WHERE s1 IS NOT NULL AND s2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad ORDER BY o_orderkey DESC) = 1)
     SELECT s1 AS state1, s2 AS state2, typology AS settle FROM last UNION ALL SELECT s2, s1, typology FROM last""",
 )
 def settled_pairs(t):
-    ship = B.shipments(t).where((F.col("year") == 2001) & (F.col("state1") < F.col("state2")))
+    ship = B.shipments(t).where(F.col("state1") < F.col("state2"))
     walk = t.nation.where(F.col("n_regionkey") != 4)
     coded = ship.select((F.col("state1") * 100 + F.col("state2")).alias("dyad"), "state1", "state2", "o_orderkey", F.col("typology").alias("settle"))
     for end in ("state1", "state2"):

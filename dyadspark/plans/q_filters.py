@@ -8,6 +8,7 @@ from dyadspark.functions import nulls as N
 from dyadspark.operators import columns as C
 from dyadspark.operators import ordered as O
 from dyadspark.operators.dyads import exclude_pairs
+from dyadspark.operators.profiles import where_path
 from dyadspark.plans import base as B
 from dyadspark.plans.q_columns import LEVELS
 from dyadspark.plans.registry import query
@@ -119,8 +120,8 @@ def filter_group(t):
     """SELECT event_id, event_type FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^[13]?7$')""",
 )
 def doc_path_regex(t):
-    doc = F.parse_json("props")
-    return t.events.where(F.variant_get(doc, "$.k", "string").rlike("^[13]?7$")).select("event_id", "event_type")
+    docs = t.events.select("event_id", "event_type", F.parse_json("props").alias("doc"))
+    return where_path(docs, "doc", ["k"], "^[13]?7$").drop("doc")
 
 
 @query("sort_multi", "SELECT n_name, n_regionkey, c_custkey, c_acctbal FROM customer JOIN nation ON n_nationkey = c_nationkey")

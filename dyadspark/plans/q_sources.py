@@ -159,7 +159,7 @@ def json_path(t):
     doc = F.parse_json("props")
     return t.events.select(
         "event_id",
-        F.variant_get(doc, "$.k", "string").try_cast("int").alias("k"),
+        P.value_at(doc, "k").try_cast("int").alias("k"),
         P.path_text(doc, "z").alias("missing"),
     )
 

@@ -36,7 +36,7 @@ def test_profiles_by_region_name(spark, tmp_path, rows):
     (tmp_path / "README.md").write_text("text")
     docs = files.read_profiles(spark, str(tmp_path), ["north-america", "europe"])
     assert rows(docs.select("region", "code", P.path_text("doc", *P.BORDERS))) == [("europe", "gi", "Spain 1.2 km"), ("north-america", "us", "Spain 1.2 km")]
-    assert P.where_path(docs, "doc", P.BORDERS, "Portugal").count() == 0
+    assert P.where_path(docs, "doc", [*P.BORDERS, "text"], "Portugal").count() == 0
 
 
 def test_export_and_imputed_layout(spark, tmp_path, rows):
