@@ -40,10 +40,14 @@ def share_within(df: DataFrame, outer: Sequence[str], inner: Sequence[str], digi
 
 
 def with_world(df: DataFrame, region: str, kind: str, world: str = "World") -> DataFrame:
-    """Counts of kinds per region together with the counts over all regions, in one pass."""
+    """Counts of kinds per region together with the counts over all regions.
+
+    Rows are counted first, so only the counts are rolled up, not the rows.
+    """
     return (
-        df.groupingSets([[F.col(region), F.col(kind)], [F.col(kind)]], region, kind)
-        .agg(n_rows().alias("n"), F.grouping(region).alias("_all"))
+        count_by(df, region, kind)
+        .groupingSets([[F.col(region), F.col(kind)], [F.col(kind)]], region, kind)
+        .agg(F.sum("n").alias("n"), F.grouping(region).alias("_all"))
         .withColumn(region, F.when(F.col("_all") == 1, world).otherwise(F.col(region)))
         .drop("_all")
     )

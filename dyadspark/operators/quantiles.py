@@ -19,7 +19,7 @@ def exact_median(
     value: str | Column,
     name: str = "median",
     bins: int = 4096,
-    enough: int = 1_000_000,
+    enough: int = 100_000,
     rounds: int = 8,
     **also: Column,
 ) -> DataFrame:
