@@ -103,7 +103,8 @@ def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, *r) for k, h in zip(pdf[key], pdf[html]) if h for r in _cells(h)]
-            yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
 
     kind = dict(pages.dtypes)[key]
     return pages.select(key, html).mapInPandas(job, f"{key} {kind}, table_no INT, row_no INT, cells ARRAY<STRING>")
@@ -123,7 +124,8 @@ def html_links(
                 if h
                 for i, (href, text) in enumerate(_anchors(h, within))
             ]
-            yield pd.DataFrame(rows, columns=[key, "link_no", "href", "url", "text"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "link_no", "href", "url", "text"])
 
     kind = dict(pages.dtypes)[key]
     needed = [key, html, *([base] if base else [])]

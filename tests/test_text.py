@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.functions import dates as Y
 from dyadspark.functions import text as X
-from dyadspark.functions.html import _anchors, _cells
+from dyadspark.functions.html import _anchors, _cells, html_links, html_tables
 from dyadspark.operators import codes as K
 from dyadspark.operators import profiles as P
 from dyadspark.operators.columns import clean_name
@@ -83,3 +83,10 @@ def test_html_tables_and_links():
     links = '<div class="nav hidden"><a href="/a?x=1&amp;y=2">One <b>two</b></a></div><a href="b">c</a><a name=d>e</a>'
     assert _anchors(links, None) == [["/a?x=1&y=2", "One two"], ["b", "c"]]
     assert _anchors(links, "hidden") == [["/a?x=1&y=2", "One two"]]
+
+
+def test_pages_without_tables_or_links(spark, rows):
+    pages = spark.createDataFrame([(1, "http://x.org/a/", "<p>none"), (2, None, None)], "page_id BIGINT, url STRING, html STRING")
+    assert html_tables(pages).count() == 0 and html_links(pages).count() == 0
+    linked = spark.createDataFrame([(1, "http://x.org/a/", "<a href='../b'>t</a>")], "page_id BIGINT, url STRING, html STRING")
+    assert rows(html_links(linked)) == [(1, 0, "../b", "http://x.org/b", "t")]
