@@ -33,7 +33,7 @@ def recode(
 
 
 def name_code(name: str | Column, dictionary: Sequence[tuple[str, str]], overrides: Mapping | None = None) -> Column:
-    """Code of the first dictionary pattern found in a free-text name; overrides are whole names."""
+    """Code of the first (lower-case) dictionary pattern found in a free-text name; overrides are whole names."""
     lowered = F.lower(col(name))
     rules = [F.when(lowered.rlike(p), F.lit(code)) for p, code in dictionary]
     fixed = [F.when(col(name) == k, F.lit(v)) for k, v in (overrides or {}).items()]

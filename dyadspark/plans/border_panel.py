@@ -15,7 +15,7 @@ from dyadspark.functions.nulls import flag, in_list, na_if, safe_div, sum0
 from dyadspark.operators.aggregates import n_rows
 from dyadspark.operators.codes import lookup_first, patch_keyed, recode
 from dyadspark.operators.columns import across
-from dyadspark.operators.dyads import dyad_key, exclude_pairs, flag_latest, mirror, relation_status
+from dyadspark.operators.dyads import add_both_ends, add_partner_value, dyad_key, exclude_pairs, flag_latest, mirror, relation_status
 from dyadspark.operators.joins import complete_panel
 from dyadspark.operators.ordered import attach_group, dense_ids, first_per_group, latest_if
 from dyadspark.operators.panel import modal_family
@@ -43,6 +43,7 @@ COLONY_PATCHES = {
     ("XKX", "MNE"): (0, 0, 0, 0),
     ("XKX", "SRB"): (0, 1, 1, 1),
 }
+PLACES = {"XKX": ("Europe", "Southern Europe")}
 PAIR = ["state1", "state2"]
 
 
@@ -207,3 +208,19 @@ def border_panel(s: Sources, years: Years | None = None) -> DataFrame:
     df = add_incidents(add_disputes(df, s, y.disputes_since), s, y.incidents)
     df = add_colonial(add_refugees(df, s, y.refugees), s, y.gravity)
     return add_terrain(df, s, y.terrain)
+
+
+def typed_panel(panel: DataFrame, typology: DataFrame, places: DataFrame) -> DataFrame:
+    """The pairs that have a type, with their panel columns, continent and region of both ends, and the partner's type.
+
+    ``typology`` is (state1, state2, typology, ...) and may list a pair several times; ``places`` is (code, continent,
+    region).
+    """
+    spark = panel.sparkSession
+    wrong = spark.createDataFrame(WRONG_PAIRS[:2], "state1 STRING, state2 STRING")
+    known = exclude_pairs(typology.where(F.col("typology").isNotNull()), wrong)
+    one = first_per_group(known, PAIR, [F.asc(c) for c in known.columns if c not in PAIR]).select(*PAIR, "typology")
+    fixed = spark.createDataFrame([(k, *v) for k, v in PLACES.items()], "code STRING, continent STRING, region STRING")
+    located = places.where(~F.col("code").isin(list(PLACES))).select("code", "continent", "region").unionByName(fixed)
+    joined = add_both_ends(one.join(panel, PAIR, "left"), located, "code", {"continent": "continent", "region": "region"})
+    return add_partner_value(joined, "typology", "state2_typology").withColumnRenamed("typology", "state1_typology")

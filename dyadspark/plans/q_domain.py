@@ -13,7 +13,6 @@ from dyadspark.operators import tables as T
 from dyadspark.plans import base as B
 from dyadspark.plans.q_aggregates import _order_regions
 from dyadspark.plans.q_codes import PANEL_SQL
-from dyadspark.plans.q_columns import LEVELS
 from dyadspark.plans.registry import query
 from dyadspark.session import stored
 

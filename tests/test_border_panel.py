@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from dyadspark.plans.border_panel import Sources, border_panel
+from dyadspark.plans.border_panel import Sources, border_panel, typed_panel
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,14 @@ def test_labels_and_flags(panel):
     assert (ab["colonial_status"], ba["colonial_status"], bs["colonial_status"]) == ("colonizer", "colonized", None)
     assert (ab["blength"], ab["terrain"], bs["blength"]) == (12.5, "flat", None)
     assert ab["rti"] == ba["rti"] == 0.4
+
+
+def test_typed_panel(spark, rows):
+    panel = spark.createDataFrame([("AAA", "XKX", 3)], "state1 STRING, state2 STRING, n INT")
+    kinds = [("AAA", "XKX", "wall"), ("AAA", "XKX", "wall"), ("XKX", "AAA", "open"), ("ARE", "QAT", "wall"), ("AAA", "CCC", None)]
+    places = spark.createDataFrame([("AAA", "Africa", "North"), ("XKX", None, None)], "code STRING, continent STRING, region STRING")
+    got = typed_panel(panel, spark.createDataFrame(kinds, "state1 STRING, state2 STRING, typology STRING"), places)
+    assert rows(got.select("state1", "state1_typology", "state2_typology", "n", "continent1", "region2")) == [
+        ("AAA", "wall", "open", 3, "Africa", "Southern Europe"),
+        ("XKX", "open", "wall", None, "Europe", "North"),
+    ]
