@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, token_files
+from dyadspark.llm import bpe, chunk_recipes, token_files
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,23 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query(r"""
+    WITH d AS (
+      SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+      FROM documents
+    ), r AS (
+      SELECT doc_id, sha256(plain) AS text_sha256, count(*) OVER (PARTITION BY plain) AS group_size,
+             first_value(doc_id) OVER (PARTITION BY plain ORDER BY n DESC, doc_id) AS keep_id
+      FROM d
+    )
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
+""")
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for white space."""
+    groups = chunk_recipes.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
+    return groups.select(F.col("key").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query()
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directly addressable token files of all documents, written and read back."""
