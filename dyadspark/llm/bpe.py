@@ -209,8 +209,10 @@ def plain_word(chunk: str) -> str | None:
 class ChunkCache:
     """Ids (and names) of chunks in two generations; the older one goes when the younger is full."""
 
-    def __init__(self, encode, join, size: int = CACHED):
+    def __init__(self, encode, join, size: int = CACHED, simple: bool = True):
+        """``simple``: a word's entry does not depend on its case, and a mark after it adds its own entry (``join``)."""
         self.encode, self.join, self.size, self.young, self.old = encode, join, size, {}, {}
+        self.plain = plain_word if simple else lambda chunk: None
 
     def fill(self, chunks: set[str]) -> None:
         """Make sure that ``young`` knows all of ``chunks``."""
@@ -222,7 +224,7 @@ class ChunkCache:
         for c in missing:
             if (found := old.get(c)) is not None:
                 young[c] = found
-            elif (core := plain_word(c)) is None or core == c:
+            elif (core := self.plain(c)) is None or core == c:
                 new.add(c)
             else:
                 tail = c[-1] if c[-1] in ".," else ""

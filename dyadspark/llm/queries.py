@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chunk_recipes, token_files
+from dyadspark.llm import bpe, chunk_recipes, token_files, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts of all documents, as digests."""
     return bpe.digests(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), word_vocabulary()))
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak label, score and decision for every document."""
+    return weak_labels.scored(documents(spark, sf_dir, "doc_id", "text"))
