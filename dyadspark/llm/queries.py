@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chunk_recipes, token_files, toxicity, weak_labels
+from dyadspark.llm import bpe, chunk_recipes, decontamination, token_files, toxicity, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,19 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document within a fifth of their words as edits."""
+    found = decontamination.matched(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.array_sort(F.col("matches.item_id")).alias("item_ids"),
+        F.array_min("matches.edits").alias("least_edits"),
+    )
+
+
 @query(r"""
     WITH d AS (
       SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
