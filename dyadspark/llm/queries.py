@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chunk_recipes, decontamination, token_files, toxicity, weak_labels
+from dyadspark.llm import bpe, chunk_recipes, decontamination, token_files, toxicity, url_filter, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "evidence", F.size("spans").alias("n_spans"))
 
 
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query()
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page's url; the last number of a url's path names the document whose labels it has."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_filter.host_and_path(F.col("url"))[1], "([0-9]{1,18})[^0-9]*$", 1)
+    good = F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(good)
+    said = pages.select("url", number.try_cast("bigint").alias("doc_id"))
+    return url_filter.judged(pages, said.join(labels, "doc_id").select("url", "good"), RULES)
+
+
 @query()
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directly addressable token files of all documents, written and read back."""
