@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chunk_recipes, decontamination, token_files, toxicity, url_filter, weak_labels
+from dyadspark.llm import bpe, chunk_recipes, decontamination, main_text, token_files, toxicity, url_filter, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak label, score and decision for every document."""
     return weak_labels.scored(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query()
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = main_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
