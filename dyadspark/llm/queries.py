@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chunk_recipes, decontamination, main_text, token_files, toxicity, url_filter, weak_labels
+from dyadspark.llm import bpe, chosen_path, chunk_recipes, decontamination, main_text, token_files, toxicity, url_filter, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at similarity 0.8."""
+    return chosen_path.joined(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query()
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts of all documents, as digests."""
