@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadspark.llm.common import free_name, small_batches
+from dyadspark.llm.common import free_name, hash_sample, small_batches
 
 SAMPLE = 150  # labelled pages that train the model
 CONTENT, WRAPPER, OTHER = 0, 1, 2
@@ -377,7 +377,8 @@ def blocks_of(html: str, model) -> list[tuple[str, float]]:
 def extracted(df: DataFrame, html: str = "html", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """All columns of ``df`` but ``html``, with ``blocks`` (text and content probability of each block) and ``main_text``."""
     spark = df.sparkSession
-    marked = df.where(F.col(html).contains("<article")).select(html).orderBy(F.xxhash64(html), F.length(html)).limit(sample)
+    marked = df.where(F.col(html).contains("<article")).select(html)
+    marked = hash_sample(marked, [html], sample, marked.count())
     pages = [Page(h) for h in marked.toArrow().column(html).to_pylist()]
     sent = spark.sparkContext.broadcast(trained(pages))
     others = [c for c in df.columns if c != html]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.bpe import ChunkCache
-from dyadspark.llm.common import small_batches, worker_cache
+from dyadspark.llm.common import hash_sample, small_batches, worker_cache
 from dyadspark.session import stored
 
 SAMPLE = 200_000  # labelled documents that are learned from at most
@@ -179,7 +179,7 @@ def evidence(location: float, scale: float, limit: float = 0.05):
 def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(key, score, evidence, n_words, spans) of every text. ``labels`` has ``key`` and ``label`` (0 or 1) to learn from."""
     known = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("label").cast("int").alias("label"))
-    known = stored(known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample))
+    known = stored(hash_sample(known, [key], sample, known.count()))
     marked = df.select(key, text).join(F.broadcast(known), key, "left")  # at most ``sample`` rows
     counts = counted(marked, text, "label").toArrow()  # at most SIZE rows
     scores = weights(*(np.asarray(counts.column(c), dtype=np.int64) for c in ("token", "harmless", "toxic", "everywhere")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyadspark.llm.bpe import ChunkCache
-from dyadspark.llm.common import small_batches, worker_cache
+from dyadspark.llm.common import hash_sample, small_batches, worker_cache
 from dyadspark.session import stored
 
 BUCKETS = 4096
@@ -199,8 +199,9 @@ def fitted(seen: DataFrame, key: str, sample: int = SAMPLE) -> tuple[np.ndarray,
     """Weights of the scorer and posterior of each pattern of votes."""
     counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
     posterior = expectation_maximisation(counts)
-    mixed = F.xxhash64(F.col(key).cast("string"), "votes", "places")
-    rows = seen.withColumn("mixed", mixed).orderBy("mixed").limit(sample).select("votes", "places", "amounts").toArrow()
+    total = sum(counts.values())
+    rows = hash_sample(seen.select(F.col(key).cast("string").alias("name"), "votes", "places", "amounts"), ["name", "votes", "places"], sample, total)
+    rows = rows.select("votes", "places", "amounts").toArrow()
     weights = train(
         [np.asarray(x, np.int64) for x in rows.column("places").to_pylist()],
         [np.asarray(x, float) for x in rows.column("amounts").to_pylist()],
