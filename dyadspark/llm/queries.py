@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.llm import bpe, chosen_path, chunk_recipes, decontamination, main_text, token_files, toxicity, url_filter, weak_labels
+from dyadspark.llm import bpe, chosen_path, chunk_recipes, decontamination, main_text, suffix_levels, token_files, toxicity, url_filter, weak_labels
 from dyadspark.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,19 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that occur elsewhere."""
+    left = suffix_levels.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document within a fifth of their words as edits."""
