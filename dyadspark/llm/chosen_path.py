@@ -329,3 +329,13 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
         F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay: of each class those with the least key; rows whose key is null always stay.
+
+    Rows that repeat with one key count as one document and stay together.
+    """
+    classes = joined(df.where(F.col(key).isNotNull()), key, text, threshold)
+    gone = stored(classes.where(F.col("class_id") <> F.col(key)).select(key).distinct())
+    return df.join(gone, key, "left_anti")
