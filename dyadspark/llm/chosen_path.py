@@ -337,5 +337,5 @@ def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", thresh
     Rows that repeat with one key count as one document and stay together.
     """
     classes = joined(df.where(F.col(key).isNotNull()), key, text, threshold)
-    gone = stored(classes.where(F.col("class_id") <> F.col(key)).select(key).distinct())
+    gone = stored(classes.where(F.col("class_id") != F.col(key)).select(key).distinct())
     return df.join(gone, key, "left_anti")
