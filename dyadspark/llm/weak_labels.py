@@ -30,6 +30,7 @@ from dyadspark.session import stored
 BUCKETS = 4096
 SAMPLE = 20_000  # documents that train the scorer
 JUNK, NONE, PROSE = 0, 1, 2
+FALSE_ALARM = 0.003  # the limits below are so far from prose that a labeller calls it junk no more often than this
 MARKS = re.compile(r"[#$%&*|!^~<>{}=+@\\_]")
 #: Each labeller: a share, and from where on it says junk or prose (either side may be the high one); shares between
 #: the two limits and texts of fewer words than the last number get no vote.
@@ -156,15 +157,17 @@ def expectation_maximisation(counts: dict[int, int], steps: int = 500) -> dict[i
     weight = np.array([counts[c] for c in codes.tolist()], float)
     said = np.stack([codes // 3 ** (m - 1 - k) % 3 for k in range(m)], axis=1)
     junk, prose = (said == JUNK).sum(1), (said == PROSE).sum(1)
-    good = np.clip((prose + 1.0 - 1.5 * junk) / (prose + 1.5 * junk + 1.5), 0.05, 0.95)
+    good = np.where(junk > 0, 0.02, np.where(prose > 0, 0.95, 0.5))  # what any labeller calls junk starts as junk
     for _ in range(steps):
         share = (weight @ good + 1) / (weight.sum() + 2)
         log = np.tile(np.log([1 - share, share]), (len(codes), 1))
         for k in range(m):
             for c, p in ((0, 1 - good), (1, good)):
                 table = np.array([(weight * p)[said[:, k] == v].sum() + 0.5 for v in range(3)])
-                # Two or more labellers agreeing by accident is rare: abstaining says nothing about the class.
+                # Abstaining says nothing about the class.
                 voted = table[[JUNK, PROSE]] / (table[JUNK] + table[PROSE])
+                if c and voted[0] > FALSE_ALARM:
+                    voted = np.array([FALSE_ALARM, 1 - FALSE_ALARM])
                 log[:, c] += np.log(np.array([voted[0], 1.0, voted[1]]))[said[:, k]]
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
         moved = np.abs(new - good).max()
