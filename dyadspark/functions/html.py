@@ -10,38 +10,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())  # never closed
+PAGES = 200  # pages whose rows are held at a time
+
+
 class _Tables(HTMLParser):
-    """Cell texts by table and row; a cell ends where the next one begins."""
+    """Cell texts by table and row; a cell ends where the next one begins.
+
+    Every open table keeps its own current row and cell, so an outer cell goes on behind an inner table.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[int, list[str]]] = []
-        self.open: list[int] = []
+        self.open: list[list] = []  # number of the table, its current row, whether a cell is open
         self.count = 0
-        self.cell = False
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.open.append(self.count)
+            self.open.append([self.count, None, False])
             self.count += 1
         elif tag == "tr" and self.open:
-            self.rows.append((self.open[-1], []))
-            self.cell = False
+            self._new_row(self.open[-1])
         elif tag in ("td", "th") and self.open:
-            if not self.rows or self.rows[-1][0] != self.open[-1]:
-                self.rows.append((self.open[-1], []))
-            self.rows[-1][1].append("")
-            self.cell = True
+            now = self.open[-1]
+            if now[1] is None:
+                self._new_row(now)
+            now[1].append("")
+            now[2] = True
+        elif self.open and self.open[-1][2] and tag in ("br", "p", "div", "li"):
+            self.open[-1][1][-1] += " "
+
+    def _new_row(self, now: list) -> None:
+        now[1], now[2] = [], False
+        self.rows.append((now[0], now[1]))
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.open:
+        if not self.open:
+            return
+        if tag == "table":
             self.open.pop()
-        if tag in ("td", "th", "tr", "table"):
-            self.cell = False
+        elif tag in ("td", "th"):
+            self.open[-1][2] = False
+        elif tag == "tr":
+            self.open[-1][1:] = None, False
 
     def handle_data(self, data):
-        if self.cell and self.open:
-            self.rows[-1][1][-1] += data
+        if self.open and self.open[-1][2]:
+            self.open[-1][1][-1] += data
 
 
 class _Links(HTMLParser):
@@ -56,7 +72,7 @@ class _Links(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
-        if self.within is not None:
+        if self.within is not None and tag not in VOID:
             hit = self.within in (values.get("class") or "").split()
             self.stack.append((tag, hit))
         if tag == "a":
@@ -97,11 +113,18 @@ def _anchors(html: str, within: str | None) -> list[list[str]]:
     return parser.links
 
 
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same pages, ``PAGES`` at a time."""
+    for pdf in batches:
+        for k in range(0, len(pdf), PAGES):
+            yield pdf.iloc[k : k + PAGES]
+
+
 def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, table_no, row_no, cells) for every table row of every page."""
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _few(batches):
             rows = [(k, *r) for k, h in zip(pdf[key], pdf[html]) if h for r in _cells(h)]
             if rows:
                 yield pd.DataFrame(rows, columns=[key, "table_no", "row_no", "cells"])
@@ -116,7 +139,7 @@ def html_links(
     """(key, link_no, href, url, text) for every anchor; relative addresses are resolved against ``base``."""
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _few(batches):
             bases = pdf[base] if base else [""] * len(pdf)
             rows = [
                 (k, i, href, urljoin(b or "", href), " ".join(text.split()))

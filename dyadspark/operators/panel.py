@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from dyadspark.functions.text import number, unbracket
 from dyadspark.operators.aggregates import n_rows
 from dyadspark.operators.codes import patch_keyed
 from dyadspark.operators.joins import complete_panel, left_fill
-from dyadspark.operators.ordered import attach_group, fill_down, first_per_group, later_or_single, running
+from dyadspark.operators.ordered import fill_down, first_per_group, running
 from dyadspark.operators.reshape import longer, pivot_by_source, wider
 
 SOURCE_COLUMNS = ["state1", "state2", "year", "indicator", "source"]
@@ -67,11 +69,14 @@ def decision_rates(long: DataFrame, keys: Sequence[str], total: str, positive: s
 def party_share(elections: DataFrame, minimum: float) -> DataFrame:
     """Vote share right of a threshold per country and year of the nearest turn of the year.
 
-    ``elections`` is (state, day, share, position). Where two elections fall into one year the later one counts.
+    ``elections`` is (state, day, share, position). Where several elections fall into one year the last one counts. A day
+    without any known share has none.
     """
-    per_day = elections.groupBy("state", "day").agg(sum_where("share", F.col("position") > minimum).alias("right_share"))
+    known = F.count("share") > 0
+    share = F.when(known, sum_where("share", F.col("position") > minimum))
+    per_day = elections.groupBy("state", "day").agg(share.alias("right_share"))
     near = per_day.withColumn("year", F.year("day") + (F.month("day") > 6).cast("int"))
-    return later_or_single(near, ["state", "year"], ["day"]).drop("day")
+    return first_per_group(near, ["state", "year"], [F.desc("day")]).drop("day")
 
 
 def country_year_panel(
@@ -101,18 +106,49 @@ def base_group(panel: DataFrame, key: str, period: str, base: int, rule: Column,
     return panel.join(groups, key, "left")
 
 
-def student_t(z: float, df: Column) -> Column:
-    """Quantile of Student's t from the normal quantile ``z`` (expansion in 1/df, four terms)."""
+def within_t(t: float, df: int) -> float:
+    """Chance that Student's t lies within +-t, by the finite series for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(df))
+    cos2 = math.cos(angle) ** 2
+    term, total = (math.cos(angle), 0.0) if df % 2 else (1.0, 0.0)
+    for k in range(df // 2):
+        total += term
+        term *= cos2 * ((2 * k + 2) / (2 * k + 3) if df % 2 else (2 * k + 1) / (2 * k + 2))
+    return (angle + math.sin(angle) * total) * 2 / math.pi if df % 2 else math.sin(angle) * total
+
+
+def t_quantile(level: float, df: int) -> float:
+    """Half-width in standard errors of a two-sided interval: halved until two neighbours in floating point remain."""
+    low, high = 0.0, 1.0
+    while within_t(high, df) < level:
+        high *= 2
+    while low < (middle := (low + high) / 2) < high:
+        low, high = (middle, high) if within_t(middle, df) < level else (low, middle)
+    return high
+
+
+def student_t(level: float, df: Column) -> Column:
+    """Two-sided quantile of Student's t: exact to 200 degrees of freedom, above by expansion (error below 1e-10).
+
+    NULL where no degree of freedom is left.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
     terms = [
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     ]
-    return reduce(lambda acc, it: acc + F.lit(it[1]) / F.pow(df, it[0]), enumerate(terms, 1), F.lit(z))
+    large = reduce(lambda acc, it: acc + F.lit(it[1]) / F.pow(df, it[0]), enumerate(terms, 1), F.lit(z))
+    exact = F.get(F.array(*[F.lit(t_quantile(level, n)) for n in range(1, 201)]), (df - 1).cast("int"))
+    return F.when(df <= 0, None).when(df <= 200, exact).otherwise(large)
+
 
+def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, level: float = 0.95) -> DataFrame:
+    """Least-squares line per group at the observed x values with standard error and confidence band.
 
-def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, z: float = 1.959963984540054) -> DataFrame:
-    """Least-squares line per group at the observed x values with standard error and confidence band."""
+    A group with one x value has no line; one with two points has a line without error and band.
+    """
     fit = df.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
@@ -124,9 +160,10 @@ def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, z: float = 1.
     )
     at = df.select(*keys, x).distinct().join(fit, list(keys))
     rest = F.col("n") - 2
-    s2 = (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / rest
-    se = F.sqrt(s2 * (1 / F.col("n") + F.pow(F.col(x) - F.col("mx"), 2) / F.col("sxx")))
-    half = student_t(z, rest) * F.col("se")
+    left = F.greatest(F.col("syy") - safe_div(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0))
+    s2 = F.when(F.col("sxx") > 0, safe_div(left, F.when(rest > 0, rest)))
+    se = F.sqrt(s2 * (safe_div(F.lit(1.0), F.col("n")) + safe_div(F.pow(F.col(x) - F.col("mx"), 2), F.col("sxx"))))
+    half = student_t(level, rest) * F.col("se")
     return (
         at.withColumn("fit", F.col("intercept") + F.col("slope") * F.col(x))
         .withColumn("se", se)
@@ -196,8 +233,3 @@ def best_source_year(
     wide = pivot_by_source(years, ["state1", "state2"], "source", "year", priority)
     built = wide.select("state1", "state2", right_most(*[F.col(f"`{p}`") for p in priority]).alias("built"))
     return patch_keyed(pairs.join(built, ["state1", "state2"], "left"), patches, ["state1", "state2"])
-
-
-def group_line(panel: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """The group-period mean next to each country's own value."""
-    return attach_group(panel, keys, **{name: F.avg(value)})

@@ -11,7 +11,7 @@ from dyadspark.functions import text as X
 from dyadspark.functions.nulls import col, sum_strict
 from dyadspark.operators.codes import recode_name
 
-BORDERS = ("Geography", "Land boundaries", "border countries")
+NEIGHBOUR_PATH = ("Geography", "Land boundaries", "border countries")
 TERRAIN = ("Geography", "Terrain")
 
 
@@ -59,9 +59,9 @@ def neighbour_lengths(
     """
     known = profiles.join(crosswalk, "code").select(
         F.col("id").alias("state1"),
-        path_text("doc", *BORDERS).alias("borders"),
+        path_text("doc", *NEIGHBOUR_PATH).alias("neighbours"),
         path_text("doc", *TERRAIN).alias("terrain"),
     )
-    rows = neighbour_rows(known, "borders", ["state1", "terrain"])
+    rows = neighbour_rows(known, "neighbours", ["state1", "terrain"])
     coded = recode_name(rows, "neighbour", dictionary, "state2", overrides)
     return coded.groupBy("state1", "state2", "terrain").agg(sum_strict("km").alias("km"))

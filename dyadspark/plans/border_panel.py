@@ -63,7 +63,7 @@ class Sources:
     incidents: DataFrame  # code, iyear, nkill, nwound
     refugees: DataFrame  # asylum_ccode, origin_ccode, year, ylinpol
     gravity: DataFrame  # iso3_o, iso3_d, year, heg_o, heg_d, col_dep_ever, comlang_off, comrelig
-    borders: DataFrame  # state1, state2, km, terrain (see profiles.neighbour_lengths)
+    neighbours: DataFrame  # state1, state2, km, terrain (see profiles.neighbour_lengths)
     terrain: DataFrame  # statea, stateb, year and any terrain measures
 
 
@@ -189,8 +189,8 @@ def add_colonial(df: DataFrame, s: Sources, year: int) -> DataFrame:
 
 def add_terrain(df: DataFrame, s: Sources, year: int) -> DataFrame:
     """Border lengths, pair name and number, and terrain measures of the undirected pair."""
-    lengths = s.borders.where(F.col("state2").isNotNull()).select(*PAIR, F.col("km").alias("blength"))
-    texts = first_per_group(s.borders.select("state1", "terrain"), ["state1"], [F.asc_nulls_last("terrain")])
+    lengths = s.neighbours.where(F.col("state2").isNotNull()).select(*PAIR, F.col("km").alias("blength"))
+    texts = first_per_group(s.neighbours.select("state1", "terrain"), ["state1"], [F.asc_nulls_last("terrain")])
     df = df.join(lengths, PAIR, "left").join(texts, "state1", "left")
     df = dense_ids(df.withColumn("dyadName", dyad_key("state1", "state2")), "dyadName", "dyadID")
     measured = coded(s.terrain.where(F.col("year") == year).drop("year"), s.number_codes, "statea", "stateb")

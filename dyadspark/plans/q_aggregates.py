@@ -206,9 +206,9 @@ def agg_first_last(t):
     return ends.withColumnsRenamed({"first": "first_order", "last": "last_order"})
 
 
-@query("agg_rowcount", "WITH " + B.FLOWS_SQL + " SELECT count(*) AS n_borders, count(DISTINCT state1) AS n_states FROM flows")
+@query("agg_rowcount", "WITH " + B.FLOWS_SQL + " SELECT count(*) AS n_pairs, count(DISTINCT state1) AS n_states FROM flows")
 def agg_rowcount(t):
-    return B.flows(t).agg(F.count(F.lit(1)).alias("n_borders"), F.countDistinct("state1").alias("n_states"))
+    return B.flows(t).agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("state1").alias("n_states"))
 
 
 @query(

@@ -12,6 +12,8 @@ from dyadspark.operators.profiles import where_path
 from dyadspark.plans import base as B
 from dyadspark.plans.q_columns import LEVELS
 from dyadspark.plans.registry import query
+from dyadspark.session import scratch_path
+from dyadspark.sources.files import read_table
 
 
 @query(
@@ -94,10 +96,16 @@ def filter_pair_excl(t):
     return exclude_pairs(B.flows(t), wrong).groupBy("state1", "state2").agg(F.sum("n").alias("n"))
 
 
-@query("filter_ordinal", "SELECT c_custkey AS ordinal, c_name FROM customer WHERE c_custkey NOT IN (0, 3, 16, 81)")
+@query(
+    "filter_ordinal",
+    """SELECT ordinal, c_name FROM (SELECT row_number() OVER (ORDER BY c_name DESC) AS ordinal, c_name FROM customer)
+      WHERE ordinal NOT IN (1, 3, 16, 81)""",
+)
 def filter_ordinal(t):
-    lines = t.customer.select(F.col("c_custkey").alias("ordinal"), "c_name")
-    return lines.where(N.not_in_list("ordinal", [0, 3, 16, 81]))
+    path = scratch_path(t.spark, "customer-lines")
+    t.customer.select("c_name", "c_mktsegment").orderBy(F.desc("c_name")).write.csv(path, header=True)
+    lines = read_table(t.spark, path, "c_name STRING, c_mktsegment STRING", ordinal="ordinal")
+    return lines.where(N.not_in_list("ordinal", [1, 3, 16, 81])).select("ordinal", "c_name")
 
 
 @query("filter_noself", "WITH " + B.FLOWS_SQL + " SELECT state1, state2, year, n FROM flows WHERE state1 <> state2")

@@ -18,6 +18,19 @@ def src_csv(t):
     return files.read_table(t.spark, path, ORDER_CSV)
 
 
+@query("src_csv_skip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def src_csv_skip(t):
+    path = scratch_path(t.spark, "supplier-csv")
+    line = F.concat_ws(",", "s_suppkey", F.concat(F.lit('"'), "s_name", F.lit('"')), "s_acctbal")
+    head = F.posexplode(F.array(F.lit("A note, in two lines"), F.lit(""), F.lit("key,name,balance"))).alias("at", "value")
+    # a file per country: two preamble lines, the header, the rows
+    lines = t.supplier.select("s_nationkey").distinct().select("s_nationkey", head)
+    lines = lines.unionByName(t.supplier.select("s_nationkey", F.lit(3).alias("at"), line.alias("value")))
+    lines = lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "at").select("s_nationkey", "value")
+    lines.write.partitionBy("s_nationkey").text(path)
+    return files.read_table(t.spark, path, "s_suppkey BIGINT, s_name STRING, s_acctbal DOUBLE", skip_lines=2)
+
+
 @query(
     "src_semicolon",
     """SELECT p_brand AS state1, CASE WHEN p_type <> 'SMALL' THEN p_type END AS state2, CASE WHEN p_size > 10 THEN p_size END AS "begin",
@@ -184,17 +197,19 @@ def array_compact(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.size(kept).cast("bigint").alias("n"), F.array_join(kept, "_").alias("kept"))
 
 
-@query("html_tables", """SELECT page_id, 1 AS row_no, url AS first, 'page & ' || page_id AS second FROM pages
-  UNION ALL SELECT page_id, 0, 'Address', 'Name' FROM pages""")
+@query("html_tables", """SELECT page_id, 0 AS table_no, 1 AS row_no, url AS first, 'page & ' || page_id || ' behind' AS second FROM pages
+  UNION ALL SELECT page_id, 0, 0, 'Address', 'Name' FROM pages UNION ALL SELECT page_id, 1, 0, 'inner', NULL FROM pages
+  UNION ALL SELECT page_id, 0, 2, 'last', 'cell' FROM pages""")
 def html_tables(t):
     from dyadspark.functions.html import html_tables as extract
 
     table = F.concat(
         F.lit("<table class=t><tr><th>Address<th>Name</tr><tr><td> "), F.replace("url", F.lit("&"), F.lit("&amp;")),
-        F.lit(" </td><td><b>page</b> &amp;\n"), "page_id", F.lit("</td></tr></table>"),
+        F.lit(" </td><td><b>page</b> &amp;\n"), "page_id",
+        F.lit("<table><tr><td>inner</table> behind</td></tr><tr><td>last<td>cell</table>"),
     )
     rows = extract(t.pages.select("page_id", F.concat(table, "html").alias("html")))
-    return rows.select("page_id", "row_no", F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"))
+    return rows.select("page_id", "table_no", "row_no", F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("second"))
 
 
 @query(
@@ -209,6 +224,20 @@ def html_links(t):
     return extract(t.pages).groupBy("page_id", "href", "url", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "html_links_within",
+    """SELECT page_id, '/in' AS href, 'in ' || page_id AS text FROM pages UNION ALL SELECT page_id, '/last', 'open' FROM pages""",
+)
+def html_links_within(t):
+    from dyadspark.functions.html import html_links as extract
+
+    body = F.concat(
+        F.lit('<br class="menu"><a href="/out">out</a><div class="menu"><img class="x" src="y"><a href="/in">in '),
+        "page_id", F.lit('</a><input></div><a href="/out">out</a>'), "html", F.lit('<p class="a menu"><a href="/last">open'),
+    )
+    return extract(t.pages.select("page_id", "url", body.alias("html")), within="menu").select("page_id", "href", "text")
+
+
 @query("sink_parquet", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def sink_parquet(t):
     path = scratch_path(t.spark, "supplier")

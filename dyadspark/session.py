@@ -28,7 +28,8 @@ def get_spark(app: str = "dyadspark", cores: int | str = "*", shuffle_partitions
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local run) a temporary one is set.
+    Only a local run may do without: there a temporary one is set. On several machines a missing setting is an error,
+    since each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dyadspark-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dyadspark.functions.nulls import na_if
 from dyadspark.functions.text import additive_length
+from dyadspark.operators.ordered import number_rows
 
 WALLS_SCHEMA = (
     "state1 STRING, state2 STRING, begin INT, length STRING, characteristics STRING, source STRING,"
@@ -16,17 +17,31 @@ WALLS_SCHEMA = (
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", skip_lines: int = 0) -> DataFrame:
-    """Delimited file with a header line.
+def read_table(
+    spark: SparkSession, path: str, schema: str, sep: str = ",", skip_lines: int = 0, ordinal: str | None = None
+) -> DataFrame:
+    """Delimited file, or a folder of such files, each with a header line behind ``skip_lines`` preamble lines.
 
-    With ``skip_lines`` the header follows that many preamble lines of one file. Line numbers of the first split
-    start at zero and those of later splits are far above, so the cut is exact and rows are parsed in parallel.
+    Lines are numbered within their split, and each file is cut by the numbers of its own first split, so rows are
+    parsed in parallel. ``ordinal`` names a column for the row's number in its source (1 for the first row behind the
+    header; files in order of their names), kept in a written table. Quoted line breaks need the plain reader.
     """
-    if not skip_lines:
+    if not skip_lines and ordinal is None:
         return spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"')
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    first = lines.where(F.col("_block") == 0).groupBy("_file").agg(F.min("_at").alias("_first"))
+    behind = (F.col("_block") > 0) | (F.col("_at") - F.col("_first") > skip_lines)
+    kept = lines.join(first, "_file").where(behind)
     row = F.from_csv("value", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'})
-    return lines.where(F.col("_at") > skip_lines).select(row.alias("r")).select("r.*")
+    if ordinal is None:
+        return kept.select(row.alias("r")).select("r.*")
+    numbered = number_rows(kept.select("value", "_file", "_block", F.col("_at").alias("_line")), ["_file", "_block", "_line"], ordinal)
+    return numbered.select(ordinal, row.alias("r")).select(ordinal, "r.*")
 
 
 def read_semicolon_walls(spark: SparkSession, path: str) -> DataFrame:

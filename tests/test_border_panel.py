@@ -34,7 +34,7 @@ def panel(spark):
             "iso3_o STRING, iso3_d STRING, year INT, heg_o INT, heg_d INT, col_dep_ever INT, comlang_off INT, comrelig DOUBLE",
             ("AAA", "BBB", 2019, 1, 0, 1, 1, 0.5), ("BBB", "AAA", 2019, 0, 1, 1, 1, 0.5), ("AAA", "AAA", 2019, 0, 0, 0, 1, 1.0),
         ),
-        borders=make("state1 STRING, state2 STRING, km DOUBLE, terrain STRING", ("AAA", "BBB", 12.5, "flat"), ("BBB", "AAA", 12.5, "hills")),
+        neighbours=make("state1 STRING, state2 STRING, km DOUBLE, terrain STRING", ("AAA", "BBB", 12.5, "flat"), ("BBB", "AAA", 12.5, "hills")),
         terrain=make("statea INT, stateb INT, year INT, rti DOUBLE", (2, 1, 2001, 0.4), (1, 2, 2001, 0.9)),
     )
     return {(r.state1, r.state2): r.asDict() for r in border_panel(s).collect()}

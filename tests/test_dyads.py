@@ -59,8 +59,26 @@ def test_pooled_routes_sum_all_routes(spark, rows):
 
 
 def test_student_t(spark):
-    t = spark.range(1).select(P.student_t(1.959963984540054, F.lit(10.0)).alias("t")).first().t
-    assert abs(t - 2.228139) < 2e-4
+    known = {1: 12.706204736174698, 2: 4.302652729911275, 3: 3.18244630528371, 10: 2.228138851964939, 200: 1.971896224271, 201: 1.971836502741, 1000: 1.962339080792}
+    df = spark.createDataFrame([(float(n),) for n in known], "n DOUBLE")
+    for r in df.select("n", P.student_t(0.95, F.col("n")).alias("t")).collect():
+        assert abs(r.t - known[int(r.n)]) < 1e-7
+    assert spark.range(1).select(P.student_t(0.95, F.lit(0)).alias("t")).first().t is None
+
+
+def test_lines_of_small_groups(spark):
+    """One point or one x value: no line; two points: no band; three: the band of one degree of freedom."""
+    data = [("a", 1.0, 2.0), ("b", 1.0, 2.0), ("b", 1.0, 4.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0), ("d", 1.0, 1.0), ("d", 2.0, 3.0), ("d", 3.0, 2.0), ("e", None, 1.0)]
+    got = {(r.g, r.x): r for r in P.linear_fit(spark.createDataFrame(data, "g STRING, x DOUBLE, y DOUBLE"), ["g"], "x", "y").collect()}
+    assert got["a", 1.0].fit is None and got["b", 1.0].fit is None and got["b", 1.0].low is None
+    assert abs(got["c", 2.0].fit - 4.0) < 1e-9 and got["c", 2.0].se is None and got["c", 2.0].high is None
+    d = got["d", 2.0]
+    assert abs(d.fit - 2.0) < 1e-9 and abs(d.se - 0.70710678) < 1e-6 and abs(d.high - 2.0 - 12.7062047 * d.se) < 1e-5
+
+
+def test_party_share_takes_the_last_of_three(spark, rows):
+    df = spark.sql("VALUES ('A', DATE'2014-09-01', 3.0, 9), ('A', DATE'2015-01-01', 4.0, 9), ('A', DATE'2015-03-01', 5.0, 9) AS t(state, day, share, position)")
+    assert rows(P.party_share(df, 8).select("state", "year", F.col("right_share").cast("double"))) == [("A", 2015, 5.0)]
 
 
 def test_party_share_takes_the_later_of_two(spark, rows):

@@ -80,9 +80,12 @@ def test_dates(spark):
 def test_html_tables_and_links():
     page = "<p>x<table><tr><th>A<th>B</tr><tr><td>1 &amp;\n 2<td><a href='q'>z</a><table><tr><td>in</table></table><td>out"
     assert _cells(page) == [(0, 0, ["A", "B"]), (0, 1, ["1 & 2", "z"]), (1, 0, ["in"])]
+    page = "<table><tr><td>a<table><tr><td>in</table> b<br>c<td>d</tr><tr><td>e</table><table><td>f<td>g</table>"
+    assert _cells(page) == [(0, 0, ["a b c", "d"]), (1, 0, ["in"]), (0, 1, ["e"]), (2, 0, ["f", "g"])]
     links = '<div class="nav hidden"><a href="/a?x=1&amp;y=2">One <b>two</b></a></div><a href="b">c</a><a name=d>e</a>'
     assert _anchors(links, None) == [["/a?x=1&y=2", "One two"], ["b", "c"]]
     assert _anchors(links, "hidden") == [["/a?x=1&y=2", "One two"]]
+    assert _anchors('<br class="nav"><a href="a">x</a><p class="nav"><img class="q"><a href="b">y</a></p><a href="c">z', "nav") == [["b", "y"]]
 
 
 def test_pages_without_tables_or_links(spark, rows):
