@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.operators.ordered import join_same
+from dyadspark.session import stored
 
 
 def natural_left(df: DataFrame, other: DataFrame) -> DataFrame:
@@ -50,6 +51,10 @@ def expand_grid(df: DataFrame, **levels: Column) -> DataFrame:
 
 
 def complete_panel(df: DataFrame, keys: Sequence[str], period: str, fills: Mapping[str, object]) -> DataFrame:
-    """Every observed key combined with every observed period; absent rows get the fill values."""
+    """Every observed key combined with every observed period; absent rows get the fill values.
+
+    The input is stored first, since keys, periods and rows are taken from it.
+    """
+    df = stored(df)
     grid = df.select(*keys).distinct().withColumn(period, F.explode(levels_of(df, period)))
     return join_same(grid, df, [*keys, period]).fillna(dict(fills))

@@ -46,8 +46,9 @@ def attach_group(df: DataFrame, keys: Sequence[str], few: bool = False, **aggs:
 
 
 def attach_total(df: DataFrame, **aggs: Column) -> DataFrame:
-    """Aggregates of the whole table put on every row, as scalar subqueries."""
-    return df.withColumns({n: df.agg(a.alias(n)).scalar() for n, a in aggs.items()})
+    """Aggregates of the whole table put on every row, as fields of one scalar subquery."""
+    totals = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_t")).scalar()
+    return df.withColumn("_t", totals).withColumns({n: F.col(f"_t.{n}") for n in aggs}).drop("_t")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **sums: str | Column) -> DataFrame:
@@ -108,7 +109,10 @@ def number_rows(
 
 
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Integer id of a key by its sorted position; numbered on the distinct keys and joined back."""
+    """Integer id of a key by its sorted position; numbered on the distinct keys and joined back.
+
+    ``df`` is read twice; where it is costly, pass a stored table.
+    """
     ids = number_rows(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], name)
     return df.join(ids, key, "left")
 

@@ -36,30 +36,39 @@ full_dyads AS (SELECT d.*, a.name AS name1, b.name AS name2, a.region AS region1
   FROM dyads d JOIN info a ON a.state = state1 JOIN info b ON b.state = state2)"""
 
 
+def items(t: Tables) -> DataFrame:
+    """One row per shipped item with the sending supplier; orders meet their customer first, so items move once."""
+    ordered = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey",
+        F.col("c_nationkey").alias("state2"),
+        F.year("o_orderdate").alias("year"),
+        F.col("o_orderpriority").alias("typology"),
+    )
+    return t.lineitem.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_suppkey", "state2", "year", "o_orderkey", "typology", money("l_extendedprice").alias("value")
+    )
+
+
+def senders(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("state1"))
+
+
 def shipments(t: Tables) -> DataFrame:
     """One row per shipped item: sending country, receiving country, year, label and value."""
-    return (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("s_nationkey").alias("state1"),
-            F.col("c_nationkey").alias("state2"),
-            F.year("o_orderdate").alias("year"),
-            "o_orderkey",
-            F.col("o_orderpriority").alias("typology"),
-            money("l_extendedprice").alias("value"),
-        )
-    )
+    return items(t).join(senders(t), "l_suppkey").select("state1", "state2", "year", "o_orderkey", "typology", "value")
+
+
+def counted(t: Tables, *labels: str) -> DataFrame:
+    """(state1, state2, year, labels, flow, n): summed per supplier first, so no item-sized table is shuffled for suppliers."""
+    keys = ["state2", "year", *labels]
+    per_supplier = items(t).groupBy("l_suppkey", *keys).agg(F.sum("value").alias("flow"), F.count(F.lit(1)).alias("n"))
+    total = F.sum("flow").cast("decimal(28,2)").alias("flow")
+    return per_supplier.join(senders(t), "l_suppkey").groupBy("state1", *keys).agg(total, F.sum("n").alias("n"))
 
 
 def flows(t: Tables) -> DataFrame:
     """Directed pair-year flows; at most pairs x years rows whatever the size of the facts."""
-    return (
-        shipments(t)
-        .groupBy("state1", "state2", "year")
-        .agg(F.sum("value").alias("flow"), F.count(F.lit(1)).alias("n"))
-    )
+    return counted(t)
 
 
 def info(t: Tables) -> DataFrame:
@@ -78,9 +87,7 @@ def info(t: Tables) -> DataFrame:
 
 def kinds(t: Tables) -> DataFrame:
     """Shipments counted by pair, year and label, in one pass over the facts; at most pairs x years x labels rows."""
-    return stored(
-        shipments(t).groupBy("state1", "state2", "year", "typology").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return stored(counted(t, "typology").drop("flow"))
 
 
 def dyads(t: Tables, counted: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from dyadspark.functions import nulls as N
 from dyadspark.operators import aggregates as A
 from dyadspark.operators import codes as K
 from dyadspark.operators import dyads as D
 from dyadspark.operators import joins as J
 from dyadspark.plans import base as B
 from dyadspark.plans.registry import query
+from dyadspark.session import stored
 
 GOODS = [("widget|gadget", "WID"), ("gizmo", "GIZ"), ("bolt|screw", "BLT"), ("^small", "SML"), ("ring", "RNG")]
 
@@ -205,11 +207,15 @@ def join_reduce(t):
       AS grand_mean FROM g""",
 )
 def join_grand_mean(t):
-    monthly = t.events.groupBy("event_type", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(
-        F.round(F.avg("value"), 4).alias("mean")
+    # the grand mean follows from the monthly sums, so the events are read once
+    monthly = stored(
+        t.events.groupBy("event_type", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(
+            F.sum("value").alias("s"), F.count("value").alias("n")
+        )
     )
-    grand = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("grand_mean"))
-    return monthly.join(grand, "event_type", "left")
+    grand = monthly.groupBy("event_type").agg(F.round(N.safe_div(F.sum("s"), F.sum("n")), 4).alias("grand_mean"))
+    mean = F.round(N.safe_div("s", "n"), 4).alias("mean")
+    return J.left_on(monthly.select("event_type", "year", "month", mean), grand.withColumnRenamed("event_type", "g"), {"event_type": "g"})
 
 
 @query(

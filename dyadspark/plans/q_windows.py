@@ -160,7 +160,7 @@ def win_extremes(t):
 )
 def win_dense_id(t):
     keyed = B.flows(t).select("state1", "state2", "year", dyad_key("state1", "state2").alias("dyad"))
-    return O.dense_ids(keyed, "dyad", "dyad_id")
+    return O.dense_ids(stored(keyed), "dyad", "dyad_id")
 
 
 @query(
@@ -175,7 +175,7 @@ def dyad_keys(t):
 
     names = t.nation.selectExpr("n_nationkey AS state", "n_name AS name")
     pairs = add_both_ends(B.flows(t).select("state1", "state2").distinct(), names, "state", {"name": "name"})
-    return O.dense_ids(pairs.select("state1", "state2", dyad_key("name1", "name2").alias("dyad")), "dyad", "dyad_id")
+    return O.dense_ids(stored(pairs.select("state1", "state2", dyad_key("name1", "name2").alias("dyad"))), "dyad", "dyad_id")
 
 
 @query(
