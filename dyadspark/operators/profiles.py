@@ -50,12 +50,17 @@ def almanac(df: DataFrame, doc: str, keys: Sequence[str], fields: Mapping[str, S
 
 
 def neighbour_lengths(
-    profiles: DataFrame, crosswalk: DataFrame, dictionary: Sequence[tuple[str, str]], overrides: Mapping | None = None
+    profiles: DataFrame,
+    crosswalk: DataFrame,
+    dictionary: Sequence[tuple[str, str]],
+    overrides: Mapping | None = None,
+    unnamed: Mapping | None = None,
 ) -> DataFrame:
     """Border length per directed pair with the terrain of the first country.
 
     ``crosswalk`` is (code, id). Neighbour names go through the dictionary; several pieces of one border are summed,
-    and a country without land neighbours keeps one row with NULLs.
+    and a country without land neighbours keeps one row with NULLs. ``unnamed`` gives countries whose profile names no
+    neighbour the one they have.
     """
     known = profiles.join(crosswalk, "code").select(
         F.col("id").alias("state1"),
@@ -64,4 +69,7 @@ def neighbour_lengths(
     )
     rows = neighbour_rows(known, "neighbours", ["state1", "terrain"])
     coded = recode_name(rows, "neighbour", dictionary, "state2", overrides)
+    for state, neighbour in (unnamed or {}).items():
+        missing = F.col("state2").isNull() & (F.col("state1") == state)
+        coded = coded.withColumn("state2", F.when(missing, F.lit(neighbour)).otherwise(F.col("state2")))
     return coded.groupBy("state1", "state2", "terrain").agg(sum_strict("km").alias("km"))

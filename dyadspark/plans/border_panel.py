@@ -20,8 +20,10 @@ from dyadspark.operators.joins import complete_panel
 from dyadspark.operators.ordered import attach_group, dense_ids, first_per_group, latest_if
 from dyadspark.operators.panel import modal_family
 
-# Code corrections, pair corrections, families of denominations.
+# Code corrections, pair corrections, families of denominations. Column names follow the sources' schemas.
 NUMBER_CODES = {345: "SRB", 347: "XKX"}
+HOSTS_LEFT_OUT = [667]  # not counted as host of refugees
+UNNAMED_NEIGHBOURS = {"BHR": "SAU", "CYP": "TUR", "SGP": "MYS"}  # profiles that name no neighbour
 REGIME_CODES = {"KOS": "XKX", "GMY": "DEU"}
 ADDED_PAIRS = [("NGA", "TCD"), ("TCD", "NGA")]
 WRONG_PAIRS = [("ARE", "QAT"), ("QAT", "ARE"), ("MMR", "PAK"), ("PAK", "MMR")]
@@ -63,7 +65,7 @@ class Sources:
     incidents: DataFrame  # code, iyear, nkill, nwound
     refugees: DataFrame  # asylum_ccode, origin_ccode, year, ylinpol
     gravity: DataFrame  # iso3_o, iso3_d, year, heg_o, heg_d, col_dep_ever, comlang_off, comrelig
-    neighbours: DataFrame  # state1, state2, km, terrain (see profiles.neighbour_lengths)
+    neighbours: DataFrame  # state1, state2, km, terrain (profiles.neighbour_lengths with UNNAMED_NEIGHBOURS)
     terrain: DataFrame  # statea, stateb, year and any terrain measures
 
 
@@ -165,7 +167,8 @@ def add_incidents(df: DataFrame, s: Sources, year: int) -> DataFrame:
 
 
 def add_refugees(df: DataFrame, s: Sources, year: int) -> DataFrame:
-    moves = coded(s.refugees.where(F.col("year") == year).select("asylum_ccode", "origin_ccode", "ylinpol"), s.number_codes, "asylum_ccode", "origin_ccode")
+    hosts = s.refugees.where((F.col("year") == year) & ~F.col("asylum_ccode").isin(HOSTS_LEFT_OUT))
+    moves = coded(hosts.select("asylum_ccode", "origin_ccode", "ylinpol"), s.number_codes, "asylum_ccode", "origin_ccode")
     totals = attach_group(moves, ["state1"], agg=sum0("ylinpol"))
     for way, ends, people in (("incoming", ("state1", "state2"), "state1_pop"), ("outgoing", ("state2", "state1"), "state2_pop")):
         stem = f"refugees_{way}"

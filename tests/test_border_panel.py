@@ -29,7 +29,7 @@ def panel(spark):
         religions=make("state INT, year INT, chrstcat INT, chrstorth INT, islmsun INT, hindgen INT", (1, 2010, 5, 6, 10, 0), (2, 2010, 1, 1, 9, 3), (345, 2010, 0, 0, 1, 8)),
         disputes=make("statea INT, stateb INT, year INT, strtyr INT, outcome INT", (1, 2, 1999, 1999, 1), (1, 2, 2005, 2004, 6), (2, 345, 2003, 1998, 2)),
         incidents=make("code STRING, iyear INT, nkill DOUBLE, nwound DOUBLE", ("AAA", 2017, 3.0, 1.0), ("AAA", 2017, None, 0.0), ("BBB", 2016, 9.0, 0.0)),
-        refugees=make("asylum_ccode INT, origin_ccode INT, year INT, ylinpol DOUBLE", (1, 2, 2015, 100.0), (1, 345, 2015, 50.0), (2, 1, 2014, 7.0)),
+        refugees=make("asylum_ccode INT, origin_ccode INT, year INT, ylinpol DOUBLE", (1, 2, 2015, 100.0), (1, 345, 2015, 50.0), (2, 1, 2014, 7.0), (667, 2, 2015, 9.0)),
         gravity=make(
             "iso3_o STRING, iso3_d STRING, year INT, heg_o INT, heg_d INT, col_dep_ever INT, comlang_off INT, comrelig DOUBLE",
             ("AAA", "BBB", 2019, 1, 0, 1, 1, 0.5), ("BBB", "AAA", 2019, 0, 1, 1, 1, 0.5), ("AAA", "AAA", 2019, 0, 0, 0, 1, 1.0),

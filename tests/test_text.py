@@ -38,6 +38,8 @@ def test_neighbour_lengths_sums_pieces(spark, rows):
     walk = spark.createDataFrame([("aa", "AAA"), ("bb", "BBB")], "code STRING, id STRING")
     got = P.neighbour_lengths(docs, walk, [("bee", "BBB")])
     assert rows(got.select("state1", "state2", "km", "terrain")) == [("AAA", "BBB", 1005.5, None), ("BBB", None, None, "flat")]
+    got = P.neighbour_lengths(docs, walk, [("bee", "BBB")], unnamed={"BBB": "CCC"})
+    assert rows(got.select("state1", "state2", "km")) == [("AAA", "BBB", 1005.5), ("BBB", "CCC", None)]
 
 
 def test_lengths_and_numbers(spark):
