@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from dyadspark.llm.common import free_name, small_batches, worker_cache
 
 END = "</w>"
-CACHED = 300_000  # chunks in the younger half of a worker's cache
+CACHED = 200_000  # chunks in the younger half of a worker's cache
 
 
 def byte_letters() -> list[str]:
@@ -165,7 +165,7 @@ class Vocabulary:
             a, b = code >> 20, code & 0xFFFFF
             known = self.fits.get((a, b))
             if known is None:
-                if len(self.fits) > 2_000_000:
+                if len(self.fits) > 300_000:
                     self.fits.clear()
                 known = self.fits[a, b] = self.merge(self._split_name(a, b)) == [a, b]
             fits[k] = known

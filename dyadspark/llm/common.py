@@ -18,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_cache(name: str, make: Callable):
-    """An object that lives as long as the Python worker, so that later tasks of the same worker find it again."""
+    """An object that the Python worker keeps for later tasks, until another one is asked for: one is held at a time."""
     box = sys.modules.setdefault("dyadspark_worker", types.ModuleType("dyadspark_worker"))
-    if not hasattr(box, name):
-        setattr(box, name, make())
-    return getattr(box, name)
+    if getattr(box, "held", (None,))[0] != name:
+        box.held = None
+        box.held = (name, make())
+    return box.held[1]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
