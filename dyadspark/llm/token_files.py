@@ -155,7 +155,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, key: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(f"lib:{path}", lambda: ChunkCache(library_encoder(path), bytes.__add__))
+        cache = worker_cache(f"lib:{path}", lambda: ChunkCache(library_encoder(path), bytes.__add__, size=300_000))
         shard, part = TaskContext.get().partitionId(), 0
         keys, sizes, parts, held = [], [], [], 0
         end = int(end_id).to_bytes(4, "little")
@@ -216,7 +216,8 @@ def read_tokens(files: DataFrame, step: int = 256) -> DataFrame:
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     ranges = placed.select("file", "base", F.explode(F.expr(f"sequence(0L, documents - 1, {step}L)")).alias("first"), "documents")
-    ranges = ranges.repartition("file", "first")
+    # Rows only point to ids, so their size says nothing about the work: as many tasks as files, whatever their size.
+    ranges = ranges.repartition(max(1, files.count()), "file", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
