@@ -4,9 +4,10 @@ Rules such as ``com/fr/`` fit a host, its subdomains and all paths that begin al
 url is judged by its template:
 
 1. Numbers in a path become ``<n>``; urls are counted by (host, path) with the labels of those that have one.
-2. From the root down, a segment keeps its name if it is frequent below its node and its share of good labels differs
-   from its siblings' by a two-sided test; all other siblings are merged into the wildcard ``*``. Segments from ``DEPTH``
-   on are one wildcard ``**``.
+2. From the root down, a segment keeps its name if it has ``SUPPORT`` labels and its share of good ones differs from its
+   siblings' by a likelihood-ratio test, corrected for the number of siblings tested; all other siblings are merged into
+   the wildcard ``*``. What a segment's share of its node's urls is does not matter. Segments from ``DEPTH`` on are one
+   wildcard ``**``.
 3. A template is rejected if its purity is too low. Purity is the share of good labels, smoothed towards the host's,
    which is smoothed towards that of all labels.
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from dyadspark.session import stored
 
 DEPTH = 8
-SUPPORT, SHARE = 20, 0.01  # a segment that keeps its name has so many urls, and such a share of its node's
-SIGNIFICANT = 2.58
+SUPPORT = 5  # labels of a segment that is tested
+SIGNIFICANT = 2.58  # standard errors, where one segment is tested
 SMOOTH = 20.0  # labels that the prior counts for
 REJECT = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +54,13 @@ def segments(path: Column) -> Column:
     return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
 
 
+def likelihood_ratio(good: Column, labelled: Column, all_good: Column, all_labelled: Column) -> Column:
+    """Twice the log likelihood ratio of two shares, a segment's and its siblings', against one; chi-square of one degree."""
+    part = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
+    split = lambda g, n: part(g) + part(n - g) - part(n)
+    return 2 * (split(good, labelled) + split(all_good - good, all_labelled - labelled) - split(all_good, all_labelled))
+
+
 def templates(counted: DataFrame) -> DataFrame:
     """(host, parts, template) for every row of (host, parts, n, good, labelled), level by level. Stored.
 
@@ -63,16 +71,14 @@ def templates(counted: DataFrame) -> DataFrame:
         segment = F.get("parts", F.lit(level))
         here = now.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment"))
         child = here.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-        node = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "labelled")])
+        tested = F.count(F.when(F.col("labelled") >= SUPPORT, 1)).alias("tested")
+        node = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "labelled")], tested)
         both = child.join(node, ["host", "template"])
-        rest = F.col("all_labelled") - F.col("labelled")
-        pooled = F.col("all_good") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-        z = F.abs(F.col("good") / F.col("labelled") - (F.col("all_good") - F.col("good")) / rest) / error
-        differs = F.when((F.col("labelled") > 0) & (rest > 0) & (error > 0), z >= SIGNIFICANT).otherwise(F.lit(False))
-        frequent = (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all_n"))
+        ratio = likelihood_ratio(F.col("good"), F.col("labelled"), F.col("all_good"), F.col("all_labelled"))
+        # A normal tail falls at least as fast as exp(-z^2 / 2), so this divides the level by the number of tests or more.
+        differs = (F.col("labelled") >= SUPPORT) & (ratio >= SIGNIFICANT**2 + 2 * F.ln("tested"))
         only = F.col("n") == F.col("all_n")
-        named = both.where(only | (frequent & differs)).select("host", "template", "segment", F.lit(True).alias("named"))
+        named = both.where(only | differs).select("host", "template", "segment", F.lit(True).alias("named"))
         step = now.withColumn("segment", segment).join(named, ["host", "template", "segment"], "left")
         label = F.when(F.col("named"), F.col("segment")).otherwise("*")
         longer = F.when(F.col("segment").isNull(), F.col("template")).otherwise(

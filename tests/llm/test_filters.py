@@ -211,6 +211,21 @@ def test_bad_branches_are_rejected(spark):
         assert r["template"].startswith("/spam/" if bad else "/")
 
 
+def test_bad_branches_of_wide_and_of_hot_nodes_are_rejected(spark):
+    """Several hundred equal siblings, and a small branch of a host with a third of all urls."""
+    rng = random.Random(8)
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(f"http://wide.net/{name(k)}/{name(j)}", k % 15 == 0) for k in range(300) for j in range(40)]
+    rows += [(f"http://hot.net/main/{name(j)}", False) for j in range(6000)] + [(f"http://hot.net/odd/{name(j)}", True) for j in range(55)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = [(u, 0 if bad else int(rng.random() < 0.95)) for u, bad in rows]
+    got = url_filter.judged(pages, spark.createDataFrame(labels, "url string, good int"), []).collect()
+    assert len(got) == len(rows)
+    assert {(r["path"], r["verdict"]) for r in got if (r["verdict"] == "block") != rows[r["page_id"]][1]} == set()
+    # merged are the siblings that do not differ: only the 20 bad sections have a template of their own
+    assert {r["template"].split("/")[1] for r in got if r["host"] == "wide.net"} == {"*"} | {name(k) for k in range(0, 300, 15)}
+
+
 # -- main text ---------------------------------------------------------------------------------------------------------
 
 
