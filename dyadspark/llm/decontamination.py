@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.llm.bpe import ChunkCache
-from dyadspark.llm.common import mix64, small_batches, worker_cache
+from dyadspark.llm.common import free_name, mix64, small_batches, worker_cache
 from dyadspark.session import stored
 
 BLOCK = 20_000  # items that are broadcast at a time
@@ -167,10 +167,18 @@ MATCH = "array<struct<item_id:long,edits:long,end_word:long>>"
 
 
 def matched(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(key, matches) of every text: the items it holds with the number of edits and the place of the last word."""
+    """(key, matches) of every text: the items it holds with the number of edits and the place of the last word.
+
+    Matches are in the order of items, edits and places. Rows are known by a number, never by their key, which may be null
+    or shared by different texts; so the number of blocks does not change any row's matches.
+    """
     spark = df.sparkSession
+    rows, number = df.select(key, text), key
+    if items.count() > block:
+        number = free_name(rows, "row")
+        rows = stored(rows.withColumn(number, F.monotonically_increasing_id()))
+    kind = rows.schema[number].dataType.simpleString()
     parts = []
-    kind = df.schema[key].dataType.simpleString()
     for keys, texts in blocks_of(items, item_key, item_text, block):
         sent = spark.sparkContext.broadcast((keys, texts))
 
@@ -178,21 +186,21 @@ def matched(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             known = Items(*sent.value)
             for batch in small_batches(batches, text):
                 out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for (at, item), (edits, end) in sorted(known.found(numbered(batch.column(1).to_pylist())).items()):
+                for (at, item), (edits, end) in known.found(numbered(batch.column(1).to_pylist())).items():
                     out[at].append({"item_id": known.keys[item], "edits": edits, "end_word": end})
                 shape = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("end_word", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, shape)], names=[key, "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, shape)], names=[number, "matches"])
 
-        parts.append(df.select(key, text).mapInArrow(run, f"`{key}` {kind}, matches {MATCH}"))
+        parts.append(rows.select(number, text).mapInArrow(run, f"`{number}` {kind}, matches {MATCH}"))
     if not parts:
         return df.select(key, F.expr(f"cast(array() as {MATCH})").alias("matches"))
     if len(parts) == 1:
-        return parts[0]
-    # Several blocks: only rows with a match go on, and each is joined to its text by key.
+        return parts[0].withColumn("matches", F.array_sort("matches"))
+    # Several blocks: only rows with a match go on, and each is joined to its text by its number.
     found = reduce(DataFrame.unionByName, parts).where(F.size("matches") > 0)
-    lists = stored(found.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches")))
+    lists = stored(found.groupBy(number).agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches")))
     none = F.expr(f"cast(array() as {MATCH})")
-    return df.select(key).join(lists, key, "left").withColumn("matches", F.coalesce("matches", none))
+    return rows.select(number, key).join(lists, number, "left").select(key, F.coalesce("matches", none).alias("matches"))
 
 
 def clean_only(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:

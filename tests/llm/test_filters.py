@@ -58,6 +58,20 @@ def test_matches_are_those_of_brute_force(spark):
         assert mine == want
 
 
+def test_blocks_do_not_change_matches(spark):
+    """Every row keeps its own matches in one order, whatever its key: null, shared by other texts, or repeated."""
+    items, rows = leaks()
+    rows += [(None, rows[-1][1]), (None, rows[-2][1]), (200, "nothing in here at all"), (7, rows[-3][1]), (7, rows[-3][1])]
+    table = spark.createDataFrame([*items, items[3], (3, items[4][1]), (None, items[5][1])], "item_id long, text string")
+    docs = documents(spark, rows).select("doc_id", "text", F.lit(1).alias("row"))
+    seen = []
+    for block in (decontamination.BLOCK, 4):
+        parts = [Counter((r[k], str(r["matches"])) for r in decontamination.matched(docs, table, key=k, block=block).collect()) for k in ("doc_id", "row")]
+        seen.append(parts)
+    assert seen[0] == seen[1]
+    assert sum(n for (k, m), n in seen[1][0].items() if k is None and m != "[]") == 2 and seen[1][0][200, "[]"] == 1
+
+
 def test_clean_rows_stay_whole(spark):
     items, rows = leaks()
     docs = documents(spark, rows).withColumn("matches", F.lit(1))
