@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dyadspark/{name}-{uuid.uuid4().hex}"
 
 
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[str]]:
+    """Tables stored inside are removed at the end, but for those whose path is taken out of the list."""
+    _passing.append([])
+    try:
+        yield _passing[-1]
+    finally:
+        spark = SparkSession.getActiveSession()
+        for name in _passing.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A table written to the shared folder and read back.
 
@@ -57,5 +75,7 @@ def stored(df: DataFrame) -> DataFrame:
     not shuffled just because the size could not be told beforehand. The data survive the loss of any executor.
     """
     path = scratch_path(df.sparkSession, "table")
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
