@@ -39,6 +39,32 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             start = stop
 
 
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])  # the bytes of white space: U+0020 and U+0009 to U+000D
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes in a row, and where each text starts and the last one ends; null texts are empty."""
+    whole = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = whole.buffers()
+    if not len(whole) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(whole) + 1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (stretches without white space, never across texts), and each text's first word."""
+    solid = ~BLANK[data]
+    begins, finishes = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    finishes[:-1] &= ~solid[1:]
+    filled = bounds[1:] > bounds[:-1]
+    first, last = bounds[:-1][filled], bounds[1:][filled] - 1
+    begins[first], finishes[last] = solid[first], solid[last]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, bounds)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with underscores where the table has such a column already (case is ignored, as Spark does)."""
     taken = {c.lower() for c in df.columns}
