@@ -14,19 +14,25 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import string
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyadspark.llm.common import free_name, small_batches, worker_cache
+from dyadspark.llm.common import free_name, packed_words, small_batches, text_bytes, word_bounds, worker_cache
 
 END = "</w>"
 CACHED = 200_000  # chunks in the younger half of a worker's cache
+LONG = 40  # letters; longer words are merged one by one
+SPACES = np.isin(np.arange(256), [32, 10])
+MARKS = "".join(c for c in string.punctuation if c not in "'<")  # with the apostrophe shortened forms begin, with < special tokens
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +60,12 @@ class Vocabulary:
         self.letters = byte_letters()
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        known = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in self.rank if a in self.ids and b in self.ids and a + b in self.ids]
+        self.whole = len(known) == len(merges)  # merging by numbers needs a number for every part
+        codes = np.array([a << 20 | b for a, b, _ in known], np.int64)
+        self.by_code = np.argsort(codes)
+        self.codes, self.merged = codes[self.by_code], np.array([c for *_, c in known], np.int64)
+        self.letter_ids = np.array([[self.ids.get(chr(k) + end, -1) for k in range(512)] for end in ("", END)])
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
 
@@ -75,8 +87,11 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[str]:
         found = self.words.findall(self.lower(unicodedata.normalize("NFC", text)))
-        letters = self.letters
-        return [w if w.isascii() and w.isprintable() else "".join(letters[b] for b in w.encode()) for w in found]
+        return list(map(self.spelled, found))
+
+    def spelled(self, word: str) -> str:
+        """A word in byte letters."""
+        return word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
 
     # -- words to ids ----------------------------------------------------------------------------------------------
 
@@ -139,6 +154,47 @@ class Vocabulary:
     def exact(self, word: str) -> list[int]:
         return self.merge(self.symbols(word))
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or a number beyond all ranks."""
+        code = left << 20 | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.by_code[at], len(self.codes))
+
+    def exact_many(self, words: list[str]) -> list[list[int]]:
+        """``exact`` for many words at once: words of one length are merged side by side, one pair of each per round."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            lengths.setdefault(len(w), []).append(k)
+        for n, rows in lengths.items():
+            if n < 2 or n > LONG or len(rows) < 8 or not self.whole:
+                for k in rows:
+                    out[k] = self.exact(words[k])
+                continue
+            letters = np.frombuffer("".join([words[k] for k in rows]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            ids = np.concatenate([self.letter_ids[0][letters[:, :-1]], self.letter_ids[1][letters[:, -1:]]], axis=1)
+            if (ids < 0).any():
+                for k in rows:
+                    out[k] = self.exact(words[k])
+                continue
+            places, none = np.array(rows), len(self.codes)
+            rank = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(places):
+                at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(places), np.int64)
+                least = rank[np.arange(len(places)), at] if rank.shape[1] else np.full(len(places), none)
+                for k, done in zip(places[least == none].tolist(), ids[least == none].tolist()):
+                    out[k] = done
+                on = least < none
+                places, ids, rank, at, least = places[on], ids[on], rank[on], at[on], least[on]
+                row, column = np.arange(len(places)), np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, column + (column > at[:, None]), 1)
+                ids[row, at] = self.merged[least]
+                rank = np.take_along_axis(rank, column[:-1] + (column[:-1] >= at[:, None]), 1)
+                left, right = row[at > 0], row[at < ids.shape[1] - 1]
+                rank[left, at[left] - 1] = self.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+                rank[right, at[right]] = self.ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
     def _split_name(self, *ids: int) -> list[str]:
         text = "".join(self.names[i] for i in ids)
         return self.symbols(text.removesuffix(END)) if text.endswith(END) else list(text)
@@ -176,12 +232,16 @@ class Vocabulary:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words in byte letters: proposals in bulk, exact merging only for those that fail the pair checks."""
         proposals = [self.propose(w) for w in words]
-        for k in np.flatnonzero(~self.check(proposals)).tolist():
-            proposals[k] = self.exact(words[k])
+        failed = np.flatnonzero(~self.check(proposals)).tolist()
+        for k, ids in zip(failed, self.exact_many([words[k] for k in failed])):
+            proposals[k] = ids
         return proposals
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        pieces = [self.pretokens(c) for c in chunks]
+    def encode_chunks(self, chunks: list[str], plain: np.ndarray | None = None) -> list[list[int]]:
+        """Ids of chunks; ``plain`` ones are one lower-case word or run of marks (or empty) and need no splitting."""
+        if plain is None:
+            plain = np.zeros(len(chunks), bool)
+        pieces = [([self.spelled(c)] if c else []) if p else self.pretokens(c) for c, p in zip(chunks, plain.tolist())]
         words = list({p for ps in pieces for p in ps if isinstance(p, str)})
         known = dict(zip(words, self.encode_words(words)))
         return [[i for p in ps for i in (known[p] if isinstance(p, str) else (p,))] for ps in pieces]
@@ -249,17 +309,116 @@ class ChunkCache:
             yield list(map(get, chunks))
 
 
-def chunk_encoder(vocabulary: Vocabulary):
-    """Chunks to pairs (ids as little-endian 32-bit numbers, names joined by blanks)."""
+def latin_word(chunk: str) -> tuple[str, str] | None:
+    """A chunk of Latin letters with ASCII marks behind them, as (lower-case word, marks); None for other chunks.
+
+    Letters beyond U+024F and chunks that are not in composed form count as other chunks.
+    """
+    core = chunk.rstrip(MARKS)
+    low = core.lower()
+    if not core or max(core) > "\u024f" or not core.isalpha() or len(low) != len(core) or not unicodedata.is_normalized("NFC", low):
+        return None
+    return low, chunk[len(core) :]
+
 
-    def encode(chunks: list[str]) -> list[tuple[bytes, str]]:
-        return [(np.asarray(ids, "<u4").tobytes(), vocabulary.decode(ids)) for ids in vocabulary.encode_chunks(chunks)]
+def words_and_marks(chunks: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Each chunk as word and marks (either may be empty), and which chunks have this form; others stay whole.
 
-    return encode
+    Word and marks are pre-tokens of their own, so a chunk's tokens are those of the one and then those of the other.
+    """
+    ascii = pc.match_substring_regex(chunks, f"^[A-Za-z]*[{re.escape(MARKS)}]*$")
+    words = pc.if_else(ascii, pc.ascii_lower(pc.ascii_rtrim(chunks, characters=MARKS)), chunks)
+    marks = pc.if_else(ascii, pc.replace_substring_regex(chunks, "^[A-Za-z]+", "", max_replacements=1), "")
+    formed = ascii.to_numpy(zero_copy_only=False).copy()
+    others = np.flatnonzero(~formed)
+    parts = [latin_word(c) for c in chunks.take(pa.array(others)).to_pylist()]
+    known = np.array([p is not None for p in parts], bool)
+    if known.any():
+        formed[others[known]] = True
+        mask = np.zeros(len(chunks), bool)
+        mask[others[known]] = True
+        mask = pa.array(mask)
+        words = pc.replace_with_mask(words, mask, pa.array([p[0] for p in parts if p], words.type))
+        marks = pc.replace_with_mask(marks, mask, pa.array([p[1] for p in parts if p], marks.type))
+    return words, marks, formed
+
+
+class ChunkTable:
+    """Encoded chunks as Arrow arrays, in two generations; the older one goes when the younger is full.
+
+    ``encode`` gets pieces (see ``words_and_marks``; other chunks are pieces as they are) and whether each one is a word or
+    a run of marks, and gives one array per column; ``between`` has what joins the entries of each column. Chunks are
+    told apart and looked up by Arrow; only chunks that neither generation knows are touched one by one.
+    """
 
+    def __init__(self, encode, between: list, size: int = CACHED):
+        self.encode, self.between, self.size = encode, between, size
+        self.young: list[pa.Array] = []
+        self.old: list[pa.Array] = []
+
+    def _known(self, chunks: pa.Array, held: list[pa.Array]) -> pa.Array:
+        return pc.index_in(chunks, held[0]) if held else pa.nulls(len(chunks), pa.int32())
+
+    def _made(self, chunks: pa.Array) -> list[pa.Array]:
+        """Entries of new chunks: those of their pieces, joined."""
+        words, marks, formed = words_and_marks(chunks)
+        n = len(chunks)
+        pieces = pa.concat_arrays([words.cast(pa.large_string()), marks.cast(pa.large_string())]).dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        plain = np.ones(len(pieces.dictionary), bool)
+        plain[codes[:n][~formed]] = False
+        turns = np.stack([codes[:n], codes[n:]], axis=1).ravel()  # word, marks, word, marks, ...
+        return self._joined(self.encode(pieces.dictionary.to_pylist(), plain), pa.array(turns), np.arange(0, 2 * n + 1, 2))
+
+    def _joined(self, columns: list[pa.Array], codes: pa.Array, bounds: np.ndarray) -> list[pa.Array]:
+        """Entries joined by stretches of ``codes``; entries without ids (the first column) are left out."""
+        filled = pc.greater(pc.binary_length(columns[0]), 0)
+        if not pc.all(filled).as_py():
+            kept = filled.take(codes).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+            codes = codes.filter(pa.array(kept))
+        bounds = pa.array(bounds, pa.int64())
+        return [pc.binary_join(pa.LargeListArray.from_arrays(bounds, c.take(codes)), b) for c, b in zip(columns, self.between)]
+
+    def _entries(self, chunks: pa.Array) -> list[pa.Array]:
+        missing = pc.is_null(self._known(chunks, self.young))
+        if self.young and len(self.young[0]) + pc.sum(missing).as_py() > self.size:
+            self.old, self.young, missing = self.young, [], pa.array(np.ones(len(chunks), bool))
+        lacking = chunks.filter(missing)
+        if len(lacking):
+            at = self._known(lacking, self.old)
+            parts = [[lacking.filter(pc.is_valid(at)), *[c.take(at.drop_null()) for c in self.old[1:]]]] if self.old else []
+            new = lacking.filter(pc.is_null(at))
+            if len(new):
+                parts.append([new, *self._made(new)])
+            parts = ([self.young] if self.young else []) + parts
+            self.young = [pa.concat_arrays(list(c)) for c in zip(*parts)]
+        at = self._known(chunks, self.young)
+        return [c.take(at) for c in self.young[1:]]
+
+    def joined(self, texts: pa.Array) -> list[pa.Array]:
+        """The entries of each text's chunks, joined, column by column; a null text counts as empty."""
+        data, bounds = text_bytes(texts)
+        starts, ends, first = word_bounds(data, bounds, SPACES)
+        chunks = packed_words(data, starts, ends, SPACES).dictionary_encode()
+        if not len(starts):
+            empty = pa.array([0] * (len(texts) + 1), pa.int64())
+            return [pc.binary_join(pa.LargeListArray.from_arrays(empty, pa.array([], b.type)), b) for b in self.between]
+        return self._joined(self._entries(chunks.dictionary), chunks.indices, first)
+
+
+NO_BYTES, NO_TEXT, BLANK_TEXT = pa.scalar(b"", pa.large_binary()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+
+
+def piece_encoder(vocabulary: Vocabulary):
+    """Pieces to ids (little-endian 32-bit numbers) and names joined by blanks."""
+
+    def encode(pieces: list[str], plain: np.ndarray) -> list[pa.Array]:
+        ids = vocabulary.encode_chunks(pieces, plain)
+        names = [vocabulary.decode(i) for i in ids]
+        return [pa.array([np.asarray(i, "<u4").tobytes() for i in ids], pa.large_binary()), pa.array(names, pa.large_string())]
 
-def join_entries(word: tuple[bytes, str], mark: tuple[bytes, str]) -> tuple[bytes, str]:
-    return word[0] + mark[0], f"{word[1]} {mark[1]}" if word[0] else mark[1]
+    return encode
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -272,14 +431,11 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(f"bpe:{path}", lambda: ChunkCache(chunk_encoder(Vocabulary(path)), join_entries))
+        table = worker_cache(f"bpe:{path}", lambda: ChunkTable(piece_encoder(Vocabulary(path)), [NO_BYTES, BLANK_TEXT], size=400_000))
         for batch in small_batches(batches, text):
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            ids, decoded = [], []
-            for entries in cache.lines(texts):
-                ids.append(b"".join([e[0] for e in entries]))
-                decoded.append(" ".join([e[1] for e in entries if e[0]]))
-            new = [pa.array([len(b) >> 2 for b in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+            ids, decoded = table.joined(batch.column(place))
+            sizes = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), 4)
+            new = [sizes, ids.cast(pa.binary()), decoded.cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)

@@ -52,9 +52,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words (stretches without white space, never across texts), and each text's first word."""
-    solid = ~BLANK[data]
+def word_bounds(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (stretches without ``blank`` bytes, never across texts), and each text's first word."""
+    solid = ~blank[data]
     begins, finishes = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     finishes[:-1] &= ~solid[1:]
@@ -65,6 +65,12 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, bounds)
 
 
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> pa.Array:
+    """The words that ``word_bounds`` found, as one array."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[~blank[data]]))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or ``name`` with underscores where the table has such a column already (case is ignored, as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -26,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadspark.llm.bpe import ChunkCache
+from dyadspark.llm.bpe import END, NO_BYTES, ChunkTable
 from dyadspark.llm.common import small_batches, worker_cache
 from dyadspark.session import scratch_path, stored
 
 MAGIC = b"DACIDS01"
 BLOCK = 512  # bits between two counts of the directory
+TOGETHER = 1000  # words that the library gets in one text
 FILE_TOKENS = 4_000_000  # a task starts a new file beyond that many ids
 
 
@@ -132,7 +133,11 @@ class TokenFile:
 
 
 def library_encoder(path: str):
-    """Chunks to their ids by the tokenizers library."""
+    """Pieces of chunks to their ids by the tokenizers library.
+
+    Pieces that are one word (or one run of marks) go to the library many at a time, as one text; the word ends among the
+    tokens part them again. Where their number does not fit, and for all other pieces, each piece is a text of its own.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,9 +146,29 @@ def library_encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    closing = np.zeros(max(names.values()) + 1, bool)
+    closing[[i for name, i in names.items() if name.endswith(END)]] = True
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(pieces: list[str], plain: np.ndarray) -> list[pa.Array]:
+        out, single = [b""] * len(pieces), np.flatnonzero(~plain).tolist()
+        words = [k for k in np.flatnonzero(plain).tolist() if pieces[k]]
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for group, found in zip(groups, ids([" ".join([pieces[k] for k in g]) for g in groups])):
+            ends = 4 * (np.flatnonzero(closing[found]) + 1)
+            if len(ends) != len(group):
+                single += group
+                continue
+            raw, start = found.tobytes(), 0
+            for k, end in zip(group, ends.tolist()):
+                out[k] = raw[start:end]
+                start = end
+        for k, found in zip(single, ids([pieces[k] for k in single])):
+            out[k] = found.tobytes()
+        return [pa.array(out, pa.large_binary())]
 
     return encode
 
@@ -155,7 +180,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, key: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache(f"lib:{path}", lambda: ChunkCache(library_encoder(path), bytes.__add__, size=300_000))
+        table = worker_cache(f"lib:{path}", lambda: ChunkTable(library_encoder(path), [NO_BYTES], size=400_000))
         shard, part = TaskContext.get().partitionId(), 0
         keys, sizes, parts, held = [], [], [], 0
         end = int(end_id).to_bytes(4, "little")
@@ -171,9 +196,9 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, key: str =
 
         for batch in small_batches(batches, text):
             keys_now = batch.column(batch.schema.get_field_index(key)).to_pylist()
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for k, entries in zip(keys_now, cache.lines(texts)):
-                ids = b"".join(entries) + end
+            (found,) = table.joined(batch.column(batch.schema.get_field_index(text)))
+            for k, ids in zip(keys_now, found.to_pylist()):
+                ids += end
                 keys.append(k)
                 sizes.append(len(ids) >> 2)
                 parts.append(ids)
@@ -183,7 +208,9 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, key: str =
         if keys:
             yield flush()
 
-    ordered = df.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+    # The texts' first letters spread rows of one key (or without a key) over several partitions.
+    by_key = F.col(key).asc_nulls_first()
+    ordered = df.select(key, text).repartitionByRange(by_key, F.substring(text, 1, 64)).sortWithinPartitions(by_key, text)
     return stored(ordered.mapInArrow(run, "shard long, part long, file string, documents long, tokens long"))
 
 

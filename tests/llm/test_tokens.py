@@ -4,6 +4,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,12 +56,44 @@ def test_long_word_merges_alike(library):
 
 def test_cache_generations(library):
     vocabulary = bpe.Vocabulary(word_vocabulary())
-    cache = bpe.ChunkCache(bpe.chunk_encoder(vocabulary), bpe.join_entries, size=5)
     texts = [f"alpha{k} beta, gamma. alpha{k - 1}" for k in range(30)]
-    got = [b"".join(e[0] for e in entries) for t in texts for entries in cache.lines([t])]
+    for encode, between in ((bpe.piece_encoder(vocabulary), [bpe.NO_BYTES, bpe.BLANK_TEXT]), (token_files.library_encoder(word_vocabulary()), [bpe.NO_BYTES])):
+        table = bpe.ChunkTable(encode, between, size=5)
+        got = [g for k in range(0, 30, 2) for g in table.joined(pa.array([*texts[k : k + 2], None]))[0].to_pylist()]
+        assert got[2::3] == [b""] * 15
+        got = [g for k, g in enumerate(got) if k % 3 < 2]
+        assert len(table.young[0]) <= 8 and len(table.old[0])
+        check_ids(got, texts, library)
+
+
+def check_ids(got, texts, library):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_side_by_side_merge_alike(library):
+    vocabulary, rng = bpe.Vocabulary(word_vocabulary()), random.Random(9)
+    words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 45))) for _ in range(3000)]
+    words += ["".join(vocabulary.letters[rng.randrange(256)] for _ in range(5)) for _ in range(50)]
+    assert vocabulary.whole
+    assert vocabulary.exact_many(words) == [vocabulary.exact(w) for w in words]
+
+
+@pytest.mark.parametrize("maker", ["own", "library"])
+def test_chunks_with_marks(library, maker):
+    marks = ["", ".", ",", "###", "&&&", "!?", "'s", "<", "'", "...'", "_", "-", "\u00bf", "1", "\u200b"]
+    words = ["", "Word", "word", "\u00c9t\u00e9", "e\u0301te", "Stra\u00dfe", "\u0130x", "\u017fo", "\u0391\u03a3", "\u65e5\u672c", "\u01c5", "a1b", "x.y"]
+    texts = [f"{w}{m} {m}{w}" for w in words for m in marks]
+    texts = [f" {t}\n{u}  {t}" for t, u in zip(texts, texts[7:] + texts[:7])]
+    vocabulary = bpe.Vocabulary(word_vocabulary())
+    if maker == "own":
+        table = bpe.ChunkTable(bpe.piece_encoder(vocabulary), [bpe.NO_BYTES, bpe.BLANK_TEXT])
+        ids, names = table.joined(pa.array(texts))
+        assert names.to_pylist() == [library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
+    else:
+        (ids,) = bpe.ChunkTable(token_files.library_encoder(word_vocabulary()), [bpe.NO_BYTES]).joined(pa.array(texts))
+    check_ids(ids.to_pylist(), texts, library)
+
+
 @pytest.mark.parametrize("top", [1, 200, 256, 70_000, 2**32 - 1])
 def test_file_gives_any_token(top):
     rng = np.random.default_rng(top)
