@@ -14,7 +14,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("key", list(QUERIES))
+@pytest.mark.parametrize("key", list(SQL))
 def test_agrees_with_sql(spark, con, key):
     result = compare(spark, con, key, QUERIES[key], SQL[key], FOLDER)
     assert result.startswith("ok"), result
