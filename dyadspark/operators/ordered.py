@@ -3,16 +3,21 @@
 * "first row" rules filter ``row_number`` (Spark prunes each map task to the first rows before the shuffle);
 * totals, sizes and medians per group are aggregated (with map-side partial sums) and joined back;
 * running totals are taken over rows already aggregated to the ordering key;
-* fill-down and global numbering work block by block and carry only one row per block further.
+* fill-down and global numbering work per range partition and carry only one row per partition further.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dyadspark.functions.nulls import col
@@ -57,28 +62,69 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **sums: st
     return df.withColumns({n: F.sum(col(c)).over(w) for n, c in sums.items()})
 
 
-def fill_down(
-    df: DataFrame, order: str, cols: Sequence[str], keys: Sequence[str] = (), block: int = 1_000_000
-) -> DataFrame:
-    """Carry the last non-NULL value forward along an integer ordinal.
-
-    The ordinal is cut into fixed blocks. Within a block a window does the work; between blocks only the last
-    value of each block is carried, so neither a whole file nor a hot group has to pass through one task.
+def _fill_in_order(cols: Sequence[str], keys: Sequence[str]):
+    """A pass over sorted rows that carries values forward within a partition, one batch and one row at a time."""
+
+    def same(a: pa.Array, b: pa.Array) -> np.ndarray:
+        both = pc.fill_null(pc.equal(a, b), False)
+        return pc.or_(both, pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the last filled row
+        leading, at, part = True, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            held = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            size = held.num_rows
+            new = np.zeros(size, bool)
+            for k in keys:
+                values = held[k].combine_chunks()
+                new[1:] |= ~same(values.slice(1), values.slice(0, size - 1))
+            start = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+            for c in cols:
+                values = held[c].combine_chunks()
+                seen = np.maximum.accumulate(np.where(pc.is_valid(values).to_numpy(zero_copy_only=False), np.arange(size), -1))
+                filled = values.take(pa.array(seen, mask=(seen < start) | (seen < 0)))
+                held = held.set_column(held.schema.get_field_index(c), c, filled)
+            fresh = held.slice(size - n)
+            leads = (np.cumsum(new[size - n :]) == 0) & leading
+            leading = bool(leads[-1])
+            extra = {"_part": pa.array(np.full(n, part, np.int32)), "_at": pa.array(np.arange(at, at + n)), "_lead": pa.array(leads)}
+            for name, values in extra.items():
+                fresh = fresh.append_column(name, values)
+            at += n
+            last = held.slice(size - 1).combine_chunks().to_batches()[0]
+            yield from fresh.combine_chunks().to_batches()
+
+    return job
+
+
+def fill_down(df: DataFrame, order: str, cols: Sequence[str], keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Carry the last non-NULL value forward along an order, within ``keys``; NULL keys are a group of their own.
+
+    A prefix scan in two levels: the rows are range-partitioned and sorted by (keys, order), each task fills its own
+    partition in one pass, and the values that leave a partition (one row each) are carried over the partitions and put
+    on the rows that lead the next ones. So neither a whole file nor a hot group has to pass through one task.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
-    part = [*keys, "_block"]
-    near = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    tails = blocked.groupBy(*part).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_t_{c}") for c in cols]
-    )
-    carried = tails.select(*part, *[F.last(f"_t_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in cols])
-    local = blocked.withColumns({c: F.last(c, ignorenulls=True).over(near) for c in cols})
-    return (
-        join_same(local, carried, part)
-        .withColumns({c: F.coalesce(c, f"_c_{c}") for c in cols})
-        .drop("_block", *[f"_c_{c}" for c in cols])
+    place = [*keys, order]
+    spread = df.repartitionByRange(partitions, *place) if partitions else df.repartitionByRange(*place)
+    extra = [T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_lead", T.BooleanType())]
+    schema = T.StructType([*df.schema.fields, *extra])
+    local = stored(spread.sortWithinPartitions(*place).mapInArrow(_fill_in_order(cols, keys), schema))
+    tails = local.groupBy("_part").agg(F.max_by(F.struct(*keys, *cols), "_at").alias("_t")).select("_part", "_t.*")
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = tails.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.lead("_part").over(Window.orderBy("_part")).alias("_to"),  # one row per partition
+        *[F.last(c, ignorenulls=True).over(upto).alias(f"_c_{c}") for c in cols],
     )
+    meet = (F.col("_part") == F.col("_to")) & F.col("_lead")
+    for k in keys:
+        meet = meet & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(F.broadcast(carried), meet, "left")
+    return joined.select(*[F.coalesce(c, f"_c_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def number_rows(

@@ -93,7 +93,7 @@ def win_locf(t):
 )
 def win_filldown(t):
     sparse = t.events.select("event_id", F.when(F.col("event_type") == "signup", F.col("user_id")).alias("head"))
-    return O.fill_down(sparse, "event_id", ["head"], block=4096)
+    return O.fill_down(sparse, "event_id", ["head"])
 
 
 @query(

@@ -23,9 +23,12 @@ def data():
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_fill_down_over_blocks(spark, data, keys):
+@pytest.mark.parametrize("partitions", [None, 1, 13, 400])
+def test_fill_down_over_partitions(spark, data, keys, partitions):
     df = spark.createDataFrame(data, "at BIGINT, k STRING, v DOUBLE").repartition(5)
-    got = {r.at: r.v for r in O.fill_down(df, "at", ["v"], keys, block=64).collect()}
+    filled = O.fill_down(df, "at", ["v"], keys, partitions)
+    assert filled.columns == df.columns
+    got = {r.at: r.v for r in filled.collect()}
     last, want = {}, {}
     for at, k, v in data:
         g = k if keys else 0
@@ -34,10 +37,26 @@ def test_fill_down_over_blocks(spark, data, keys):
     assert got == want
 
 
-@pytest.mark.parametrize("enough", [10**6, 20])
-def test_exact_median_of_skewed_groups(spark, data, enough):
+def test_fill_down_of_several_columns(spark):
+    """Text and number, small batches, a key that spans all partitions, and rows that nothing precedes."""
+    rows = [(i, None if i % 3 else "only", f"t{i}" if i % 50 == 20 else None, i if i % 7 == 3 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "at INT, k STRING, t STRING, n INT")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r.at: (r.k, r.t, r.n) for r in O.fill_down(df, "at", ["t", "n"], ["k"], 7).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for at, k, t, n in rows:
+        old = last.get(k, (None, None))
+        last[k] = (t or old[0], old[1] if n is None else n)
+        assert got[at] == (k, *last[k])
+    assert O.fill_down(df.limit(0), "at", ["t"]).count() == 0
+
+
+def test_exact_median_of_skewed_groups(spark, data):
     df = spark.createDataFrame(data + [(9999, "empty", None)], "at BIGINT, k STRING, v DOUBLE")
-    got = {r.k: r.median for r in exact_median(df, ["k"], "v", bins=8, enough=enough).collect()}
+    got = {r.k: r.median for r in exact_median(df, ["k"], "v").collect()}
     for k in ("hot", "a", "b", None):
         assert got[k] == pytest.approx(statistics.median(v for _, g, v in data if g == k and v is not None), rel=1e-12)
     assert got["empty"] is None
@@ -45,10 +64,22 @@ def test_exact_median_of_skewed_groups(spark, data, enough):
 
 def test_median_with_gap_in_the_middle_and_repeats(spark):
     rows = [("g", v) for v in [0.0] * 50 + [1e9] * 50] + [("r", 5.0)] * 101
-    got = {r.k: r.median for r in exact_median(spark.createDataFrame(rows, "k STRING, v DOUBLE"), ["k"], "v", bins=4, enough=3).collect()}
+    got = {r.k: r.median for r in exact_median(spark.createDataFrame(rows, "k STRING, v DOUBLE"), ["k"], "v").collect()}
     assert got == {"g": 5e8, "r": 5.0}
 
 
+def test_median_of_a_million_rows_of_one_group(spark):
+    """Values from 1e-300 to 1e300 of both signs: the number of rounds does not depend on them."""
+    power = (F.pmod(F.xxhash64("id"), F.lit(600_001)) / 1000) - 300
+    value = F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0) * F.pow(F.lit(10.0), power)
+    df = spark.range(1_000_000).select(F.lit("one").alias("k"), value.alias("v"))
+    got = exact_median(df, ["k"], "v").first().median
+    assert got == statistics.median(r.v for r in df.select("v").collect())
+    few = spark.createDataFrame([("a", v) for v in (-0.0, 0.0, 5e-324, -5e-324)] + [("b", float("-inf")), ("b", 1.0)], "k STRING, v DOUBLE")
+    assert {r.k: r.median for r in exact_median(few, ["k"], "v").collect()} == {"a": 0.0, "b": float("-inf")}
+    assert exact_median(few, [], "v").count() == 1 and exact_median(few.limit(0), ["k"], "v").count() == 0
+
+
 def test_describe(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), ("a", None)], "k STRING, v DOUBLE")
     (r,) = describe_long(df, ["k"], "v").collect()
