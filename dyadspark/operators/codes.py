@@ -1,7 +1,7 @@
 """Code systems: crosswalks, name dictionaries, keyed corrections and lookups.
 
-Dimension sides are left to Spark's size-checked automatic broadcast; dictionaries and corrections written in a
-program are turned into expressions, so they never shuffle the large side.
+Dimension sides are left to Spark's size-checked automatic broadcast; corrections written in a program are turned into
+expressions and dictionaries of names into one automaton, so they never shuffle the large side.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadspark.functions.dictionary import all_matches, first_match
 from dyadspark.functions.nulls import col
 from dyadspark.operators.ordered import first_per_group, join_same
 from dyadspark.session import stored
@@ -34,10 +35,9 @@ def recode(
 
 def name_code(name: str | Column, dictionary: Sequence[tuple[str, str]], overrides: Mapping | None = None) -> Column:
     """Code of the first (lower-case) dictionary pattern found in a free-text name; overrides are whole names."""
-    lowered = F.lower(col(name))
-    rules = [F.when(lowered.rlike(p), F.lit(code)) for p, code in dictionary]
+    found = first_match(F.lower(col(name)), [p for p, _ in dictionary], [code for _, code in dictionary])
     fixed = [F.when(col(name) == k, F.lit(v)) for k, v in (overrides or {}).items()]
-    return F.coalesce(*fixed, *rules)
+    return F.coalesce(*fixed, found)
 
 
 def recode_name(
@@ -55,8 +55,12 @@ def unmatched(df: DataFrame, c: str, crosswalk: DataFrame, origin: str) -> DataF
 
 
 def mentions(text: str | Column, words: Sequence[str]) -> Column:
-    """All dictionary patterns found in a text, in order of appearance."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit("(" + "|".join(words) + ")"), F.lit(1))
+    """All dictionary patterns found in a lower-cased text, in order of appearance.
+
+    Per place the longest one counts, and words that overlap are all found. The text is read once, however many words
+    there are.
+    """
+    return all_matches(F.lower(col(text)), words)
 
 
 def longer_list(a: str | Column, b: str | Column) -> Column:

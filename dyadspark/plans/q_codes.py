@@ -50,21 +50,31 @@ def crosswalk_unmatched(t):
     return K.unmatched(t.events, "user_id", t.supplier, "s_suppkey")
 
 
-@query(
-    "mentions_all",
-    """SELECT doc_id, len(m) AS n, array_to_string(m, ',') AS found FROM (SELECT doc_id,
-      regexp_extract_all(lower(text), '(ment|tion|heit|mente|ung)', 1) AS m FROM documents)""",
-)
+def _mentions_sql(name: str, words: list[str]) -> str:
+    """Words by place: texts are cut at every word, places follow from the lengths of the cuts, the longest word of a place stays."""
+    return f"""{name}_w AS (SELECT unnest({words}) AS w),
+{name}_u AS (SELECT doc_id, w, unnest(string_split(lower(text), w)) AS piece, generate_subscripts(string_split(lower(text), w), 1) AS k,
+  len(string_split(lower(text), w)) AS cuts FROM documents, {name}_w),
+{name}_p AS (SELECT doc_id, w, k, cuts, sum(length(piece) + length(w)) OVER (PARTITION BY doc_id, w ORDER BY k) - length(w) AS place FROM {name}_u),
+{name}_b AS (SELECT doc_id, place, arg_max(w, length(w)) AS w FROM {name}_p WHERE k < cuts GROUP BY ALL),
+{name} AS (SELECT doc_id, count(*) AS n, string_agg(w, ',' ORDER BY place) AS found FROM {name}_b GROUP BY 1)"""
+
+
+WORDS = ["ment", "tion", "heit", "mente", "ung", "entend", "tun"]
+
+
+@query("mentions_all", f"WITH {_mentions_sql('m', WORDS)} SELECT doc_id, coalesce(n, 0) AS n, coalesce(found, '') AS found FROM documents LEFT JOIN m USING (doc_id)")
 def mentions_all(t):
-    words = ["ment", "tion", "heit", "mente", "ung"]
-    found = t.documents.select("doc_id", K.mentions("text", words).alias("m"))
+    """Among the words are one that begins with another one and some that overlap others."""
+    found = t.documents.select("doc_id", K.mentions("text", WORDS).alias("m"))
     return found.select("doc_id", F.size("m").cast("bigint").alias("n"), F.array_join("m", ",").alias("found"))
 
 
 @query(
     "mentions_fallback",
-    """SELECT doc_id, array_to_string(CASE WHEN len(a) < len(b) THEN b ELSE a END, ',') AS found FROM (SELECT doc_id,
-      regexp_extract_all(lower(text), '(ment|heit)', 1) AS a, regexp_extract_all(lower(text), '(tion|ung)', 1) AS b FROM documents)""",
+    f"""WITH {_mentions_sql('a', ['ment', 'heit'])}, {_mentions_sql('b', ['tion', 'ung'])}
+    SELECT doc_id, coalesce(CASE WHEN coalesce(a.n, 0) < b.n THEN b.found ELSE a.found END, '') AS found
+    FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""",
 )
 def mentions_fallback(t):
     a, b = K.mentions("text", ["ment", "heit"]), K.mentions("text", ["tion", "ung"])
