@@ -238,6 +238,48 @@ def html_links_within(t):
     return extract(t.pages.select("page_id", "url", body.alias("html")), within="menu").select("page_id", "href", "text")
 
 
+LIST = """<div id=top class="list wide"><ul><li class=x>a {0}<li class="item_link x"><a href="/b{0}">b</a> {0}<li class=item_link>c {0}<p>c</ul>
+  <ol><li>d<li>e<li class=item_link>f {0}</ol></div><ul><li><li><li class=item_link>out</ul>"""
+
+
+@query(
+    "html_selected",
+    """SELECT page_id, 'third' AS kind, 0 AS item_no, 'c ' || page_id || ' c' AS text, 'item_link' AS value FROM pages
+    UNION ALL SELECT page_id, 'third', 1, 'f ' || page_id, 'item_link' FROM pages
+    UNION ALL SELECT page_id, 'link', 0, 'b', '/b' || page_id FROM pages
+    UNION ALL SELECT page_id, 'odd', 0, 'a ' || page_id, 'x' FROM pages UNION ALL SELECT page_id, 'odd', 1, 'c ' || page_id || ' c', 'item_link' FROM pages""",
+)
+def html_selected(t):
+    """Texts by selectors: the third items, a link below an item of two classes, every other direct item of a list."""
+    from dyadspark.functions.html import html_links as links
+    from dyadspark.functions.html import html_texts as texts
+
+    first, *rest = LIST.split("{0}")
+    page = F.concat(F.lit(first), *[c for part in rest for c in (F.col("page_id"), F.lit(part))])
+    pages = t.pages.select("page_id", "url", page.alias("html"))
+    third = texts(pages, "#top .item_link:nth-child(3)", attribute="class").withColumn("kind", F.lit("third"))
+    odd = texts(pages, "div.list.wide > ul > li:nth-child(odd)", attribute="class").withColumn("kind", F.lit("odd"))
+    link = links(pages, select="li.x.item_link a[href^='/b']").select("page_id", F.col("link_no").alias("item_no"), "text", F.col("href").alias("value"), F.lit("link").alias("kind"))
+    return third.unionByName(odd).unionByName(link)
+
+
+@query(
+    "html_spans",
+    """SELECT page_id, r AS row_no, c FROM (SELECT page_id, unnest([0, 1, 2, 3]) AS r, unnest(['region|count|count|NULL', 'region|low|high|NULL',
+      'north ' || page_id || '|1|2|3', 'north ' || page_id || '|4|NULL|NULL']) AS c FROM pages)""",
+)
+def html_spans(t):
+    """Spanned cells stand in every place they cover, short rows are filled up."""
+    from dyadspark.functions.html import html_tables as extract
+
+    table = F.concat(
+        F.lit("<table><tr><th rowspan=2>region<th colspan='2'>count<tr><th>low<th>high<tr><td rowspan=0>north "), "page_id",
+        F.lit("</td><td>1<td>2<td>3</tr><tr><td>4</table>"),
+    )
+    rows = extract(t.pages.select("page_id", table.alias("html")))
+    return rows.select("page_id", "row_no", F.array_join("cells", "|", "NULL").alias("c"))
+
+
 @query("sink_parquet", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def sink_parquet(t):
     path = scratch_path(t.spark, "supplier")
