@@ -106,29 +106,52 @@ def settled_pairs(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return mirror(first_per_group(known, keys, order), [("state1", "state2")])
 
 
-def pairs_in_groups(members: DataFrame, group: str, member: str) -> DataFrame:
-    """How many groups each unordered pair of members shares.
+BLOCK = 512  # members of a block
 
-    Members come from a code list, so a group has at most as many distinct members as the list has codes. Groups
-    with the same member set are counted together first; pairs are formed once per distinct set, not per group.
+
+def pairs_in_groups(members: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """How many groups each unordered pair of members shares; groups may be of any size.
+
+    Groups of at most ``block`` members are put together as sets; equal sets are counted first, and pairs are formed
+    once per distinct set. A larger group is cut into blocks by a hash of the member, and every pair of blocks is a task
+    of its own, so no array and no task ever holds more than the members of two blocks (about ``block`` each).
     """
+    held = stored(members.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where(F.col("_m").isNotNull()).distinct())
+    sizes = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1)
+    large = stored(sizes.where(F.col("_size") > block))
+    known = F.col("_g").eqNullSafe(F.col("_l"))
+    small = held.join(large.select(F.col("_g").alias("_l")), known, "left_anti")
     sets = (
-        members.select(group, member)
-        .where(F.col(member).isNotNull())
-        .distinct()
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_list(member)).alias("_set"))
+        small.groupBy("_g")
+        .agg(F.array_sort(F.collect_list("_m")).alias("_set"))
         .where(F.size("_set") > 1)
         .groupBy("_set")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     first = sets.select("_set", "_n", F.posexplode("_set").alias("_i", "state1"))
     rest = F.slice("_set", F.col("_i") + 2, F.size("_set"))
-    return (
-        first.select("_n", "state1", F.explode(rest).alias("state2"))
-        .groupBy("state1", "state2")
-        .agg(F.sum("_n").alias("n_shared"))
+    pairs = first.select("_n", "state1", F.explode(rest).alias("state2"))
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_block_pairs(held, large, block))
+    return pairs.groupBy("state1", "state2").agg(F.sum("_n").alias("n_shared"))
+
+
+def _block_pairs(held: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """Pairs (state1 < state2) within large groups: each member goes to all pairs of blocks that hold its own."""
+    blocks = F.ceil(F.col("_size") / block).cast("int")
+    placed = held.join(large.select(F.col("_g").alias("_l"), blocks.alias("_blocks")), F.col("_g").eqNullSafe(F.col("_l")))
+    placed = placed.withColumn("_own", F.pmod(F.xxhash64("_m"), F.col("_blocks")).cast("int"))
+    copies = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "_g", "_m", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).alias("_second")
+    )
+    met = copies.groupBy("_g", "_i", "_j").agg(
+        F.collect_list(F.when(~F.col("_second"), F.col("_m"))).alias("_a"), F.collect_list(F.when(F.col("_second"), F.col("_m"))).alias("_b")
     )
+    # Blocks that meet themselves pair their members up once; others pair all of one with all of the other.
+    other = F.when(F.col("_i") == F.col("_j"), F.col("_a")).otherwise(F.col("_b"))
+    pairs = met.withColumn("_b", other).select("_i", "_j", F.explode("_a").alias("_x"), "_b").select("_i", "_j", "_x", F.explode("_b").alias("_y"))
+    once = (F.col("_i") != F.col("_j")) | (F.col("_x") < F.col("_y"))
+    return pairs.where(once).select(F.lit(1).cast("bigint").alias("_n"), F.least("_x", "_y").alias("state1"), F.greatest("_x", "_y").alias("state2"))
 
 
 def shared_groups(members: DataFrame, group: str, member: str, share: str, minimum: float) -> DataFrame:

@@ -100,6 +100,16 @@ def pairs_within(t):
     return D.pairs_in_groups(held.select("l_orderkey", "s_nationkey"), "l_orderkey", "s_nationkey")
 
 
+@query(
+    "pairs_blocked",
+    """WITH m AS (SELECT DISTINCT p_brand AS g, p_size AS m FROM part) SELECT a.m AS state1, b.m AS state2, count(*) AS n_shared
+      FROM m a JOIN m b ON a.g = b.g AND a.m < b.m GROUP BY ALL""",
+)
+def pairs_blocked(t):
+    """Groups larger than a block, cut into pairs of blocks."""
+    return D.pairs_in_groups(t.part, "p_brand", "p_size", block=8)
+
+
 @query(
     "shared_groups",
     "WITH " + MEMBERS_SQL + """, big AS (SELECT * FROM shares WHERE share >= 0.1)

@@ -118,3 +118,21 @@ def test_best_source_and_patches(spark, rows):
     )
     got = P.best_source_year(pairs, barriers, ["s1", "s2"], [{"state1": "E", "state2": "F", "built": 1901}])
     assert rows(got) == [("A", "B", 2003), ("C", "D", 1950), ("E", "F", 1901)]
+
+
+def test_pairs_of_large_groups_by_blocks(spark):
+    """Groups above the block size, equal and null ones, repeated members and members without a group."""
+    rng = random.Random(6)
+    members = [(g, m) for g in range(12) for m in rng.sample(range(60), rng.choice([1, 2, 9, 30, 60]))]
+    members += [(None, m) for m in range(25)] + members[:20] + [(3, None)] + [(g, m) for g in (20, 21) for m in range(15)]
+    want: dict = {}
+    for g in {g for g, _ in members}:
+        for pair in itertools.combinations(sorted({m for h, m in members if h == g and m is not None}), 2):
+            want[pair] = want.get(pair, 0) + 1
+    df = spark.createDataFrame(members, "g INT, m INT").repartition(5)
+    for block in (4, 10, 1000):
+        got = D.pairs_in_groups(df, "g", "m", block).collect()
+        assert {(r.state1, r.state2): r.n_shared for r in got} == want and len(got) == len(want)
+    hot = spark.range(3000).selectExpr("1 AS g", "id AS m")
+    pairs = D.pairs_in_groups(hot, "g", "m", 128)
+    assert pairs.agg(F.count("*"), F.min("n_shared"), F.max("n_shared")).first() == (3000 * 2999 // 2, 1, 1)
