@@ -35,6 +35,7 @@ PARTS = 3  # a word and its beginnings of five and four letters
 SIZE = PARTS << BITS
 PRIOR = 500.0  # weight of the corpus's shares, in tokens
 OFFSET = 1.0
+ROUNDS = 30  # of the scale of the extreme-value law; each needs the last one's scale, and all follow from the same five moments
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -185,11 +186,15 @@ def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     scores = weights(*(np.asarray(counts.column(c), dtype=np.int64) for c in ("token", "harmless", "toxic", "everywhere")))
     seen = scanned(marked, scores, key, text)
 
-    # The extreme-value law of harmless documents: moments of best - scale * log n.
-    adjusted = F.col("best") - F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    law = seen.where("label = 0").agg(F.avg(adjusted).alias("mean"), F.stddev_pop(F.col("best")).alias("sd")).first()
-    scale = max((law["sd"] or 0.0) * math.sqrt(6) / math.pi, 1.0)
-    location = (law["mean"] or 0.0) - 0.5772 * scale
+    # The extreme-value law of harmless documents: moments of best - scale * log n, with the scale that they give.
+    size = F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    moments = [F.avg("best"), F.avg(size), F.var_pop("best"), F.var_pop(size), F.covar_pop("best", size)]
+    best, words, var_best, var_words, both = (x or 0.0 for x in seen.where("label = 0").agg(*moments).first())
+    scale = 1.0
+    for _ in range(ROUNDS):
+        spread = var_best - 2 * scale * both + scale * scale * var_words
+        scale = max(math.sqrt(max(spread, 0.0) * 6) / math.pi, 1e-3)
+    location = best - scale * words - 0.5772 * scale
     judged = seen.withColumn("evidence", evidence(location, scale))
 
     # Rate of toxic labels by evidence, in bins of a fixed number.
