@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyadspark.llm.common import mix64, small_batches
+from dyadspark.llm.common import free_name, mix64, small_batches
 from dyadspark.llm.decontamination import numbered
 from dyadspark.session import stored
 
@@ -83,7 +83,7 @@ def paths(found: np.ndarray) -> np.ndarray:
 
 
 def described(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, size, paths) of every row; node is null for texts without words. Stored."""
+    """(key, node, size, paths, mark) of every row; node is null for texts without words, mark a hash of the text. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
@@ -94,11 +94,12 @@ def described(df: DataFrame, key: str, text: str) -> DataFrame:
                 sizes.append(len(found))
                 ways.append(paths(found) if len(found) else None)
             new = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ways, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["key", "node", "size", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, batch.column(2)], names=schema.names)
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("node", T.BinaryType()),
-                           T.StructField("size", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))])
-    return stored(df.select(key, text).mapInArrow(run, schema))
+                           T.StructField("size", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType())),
+                           T.StructField("mark", T.LongType())])
+    return stored(df.select(key, text, F.xxhash64(text).alias("mark_")).mapInArrow(run, schema))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -149,13 +150,13 @@ def needed(nodes: DataFrame, found: DataFrame) -> DataFrame:
     sent = sent.withColumn("mine", mine).withColumn("other", other)
     pair = F.struct("leaf", F.col("run").cast("int").alias("run"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
     targets = sent.groupBy("node").agg(F.collect_list(pair).alias("targets"))
-    return nodes.select("key", "node", "copies").join(met, "node").join(targets, "node")
+    return nodes.select("key", "mark", "node", "copies").join(met, "node").join(targets, "node")
 
 
 def with_sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """A row per target of every wanted node with its set (sorted 32-bit numbers); repeated rows are sent again."""
-    rows = df.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
-    both = rows.join(wanted, F.col("key_").eqNullSafe(F.col("key"))).select("text_", "node", "copies", "met", "targets")
+    rows = df.select(F.col(key).alias("key_"), F.col(text).alias("text_"), F.xxhash64(text).alias("mark_"))
+    both = rows.join(wanted, F.col("key_").eqNullSafe(F.col("key")) & (F.col("mark_") == F.col("mark"))).select("text_", "node", "copies", "met", "targets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text_", 2_000_000):
@@ -309,20 +310,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(key, class_id, n_links) of every row: the least key of its component, and the number of rows it is linked to."""
+def classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows as (key, node) and nodes as (node, top, class_id, n_links); ``top`` names the class. Both stored."""
     rows = described(df, key, text)
     known = rows.where("node is not null")
-    nodes = stored(known.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths")))
+    first = F.min(F.struct(F.col("key").isNull().alias("gap"), "key", "mark")).alias("first")  # null keys last
+    nodes = known.groupBy("node").agg(first, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+    nodes = stored(nodes.withColumns({"key": F.col("first.key"), "mark": F.col("first.mark")}).drop("first"))
     found = leaves(nodes)
     links = links_of(with_sets(df, needed(nodes, found), key, text), threshold)
     tops = components(links)
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
     described_nodes = nodes.select("node", "key", "copies").join(count, "node", "left").join(tops, "node", "left")
     described_nodes = stored(described_nodes.withColumn("top", F.coalesce("top", "node")))
-    classes = described_nodes.groupBy("top").agg(F.min("key").alias("class_id"))
-    place = described_nodes.join(classes, "top").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    both = rows.select("key", "node").join(place, "node", "left")
+    least = described_nodes.groupBy("top").agg(F.min("key").alias("class_id"))
+    links_all = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    return rows.select("key", "node"), described_nodes.join(least, "top").select("node", "top", "class_id", links_all)
+
+
+def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(key, class_id, n_links) of every row: the least key of its component, and the number of rows it is linked to."""
+    rows, place = classes(df, key, text, threshold)
+    both = rows.join(place, "node", "left")
     alone = F.col("node").isNull()
     return both.select(
         F.col("key").alias(key),
@@ -331,11 +340,39 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     )
 
 
+def with_nodes(df: DataFrame, text: str, name: str) -> DataFrame:
+    """All columns of ``df`` and the node of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text):
+            sets = map(shingles, numbered(batch.column(batch.schema.get_field_index(text)).to_pylist()))
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``df`` that stay: of each class those with the least key; rows whose key is null always stay.
+    """The rows of ``df`` that stay: of each class those with the least key (null keys are the greatest), then the least set.
 
-    Rows that repeat with one key count as one document and stay together.
+    Rows are decided on one by one, by key and set of shingles: of rows with one key some may stay and others go. Rows
+    that repeat with one key and one set count as one document and stay together; rows without words stay.
     """
-    classes = joined(df.where(F.col(key).isNotNull()), key, text, threshold)
-    gone = stored(classes.where(F.col("class_id") != F.col(key)).select(key).distinct())
-    return df.join(gone, key, "left_anti")
+    rows, place = classes(df, key, text, threshold)
+    documents = rows.where("node is not null").distinct().join(place.select("node", "top"), "node")
+    rank = F.struct(F.col("key").isNull().alias("gap"), "key", "node")
+    best = documents.groupBy("top").agg(F.min(rank).alias("best"))
+    marked = documents.join(best, "top").select("key", "node", (F.col("node") != F.col("best.node")) | ~F.col("key").eqNullSafe(F.col("best.key")))
+    marked = stored(marked.toDF("key", "node", "gone"))
+    gone = marked.where("gone").select(F.col("key").alias("key_"), F.col("node").alias("node_"))
+    staying = marked.where("not gone").select("key").union(rows.where("node is null").select("key")).distinct()
+    mixed = stored(gone.join(staying, F.col("key_").eqNullSafe(F.col("key")), "left_semi"))  # keys of which only some rows go
+    same = F.col(key).eqNullSafe(F.col("key_"))
+    if mixed.isEmpty():
+        return df.join(gone.select("key_").distinct(), same, "left_anti")
+    keys = stored(mixed.select("key_").distinct())
+    clear = gone.select("key_").distinct().join(keys.withColumnRenamed("key_", "mixed_"), F.col("key_").eqNullSafe(F.col("mixed_")), "left_anti")
+    sure = df.join(keys, same, "left_anti").join(clear, same, "left_anti")
+    name = free_name(df, "node")
+    some = with_nodes(df.join(keys, same, "left_semi"), text, name)
+    return sure.unionByName(some.join(mixed, same & F.col(name).eqNullSafe(F.col("node_")), "left_anti").drop(name))

@@ -3,7 +3,7 @@
 Every block element has one of three states: content, wrapper (holds content and other things), other. Potentials of an
 element (tag, words of class, id and role, length and links of its own text) and of each parent-child pair form a tree;
 messages up and down the tree (sum-product) give the exact marginals, and the text blocks of elements whose content
-marginal is the largest are the main text.
+marginal is one half or more are the main text.
 
 The weights are trained on a bounded sample of labelled pages (``SAMPLE``): pages that mark one ``article`` themselves
 are labelled by it, and in half of them the mark is hidden, so that the model also learns from the rest. Training is
@@ -11,7 +11,8 @@ maximum likelihood with a normal prior around ``PRIOR``, which says what names s
 seen; without labelled pages the prior is the model.
 
 Pages are parsed whole, in linear time, with the usual repairs (open paragraphs and list items, void elements, stray
-ends). Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
+ends). Closed buttons, selects, players, drawings and ``noscript`` are left out; where such an element is not closed, what
+follows it counts. Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by
 a newline; ``br`` counts as white space. Null or empty pages give an empty text; repeated rows give equal texts.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,7 +36,8 @@ CONTENT, WRAPPER, OTHER = 0, 1, 2
 
 # Element names as HTML groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object audio video select button".split())
+RAW = frozenset("script style textarea title iframe".split())  # their content is no markup, up to their end tag or the page's end
+SKIPPED = frozenset("noscript template svg canvas audio video select button".split())  # left out where they are closed
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -157,12 +160,32 @@ class Page:
                     self.linked[node] += min(linked, len(text))
             linked = 0
 
+        opened: dict[str, list[int]] = {}  # depths of the open elements of each name
+        blocks: list[int] = []  # depths of the open block elements
+
+        def push(tag, node):
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
         def close(depth):
             nonlocal links
-            if any(name in BLOCKS for name, _ in stack[depth:]):
+            if blocks and blocks[-1] >= depth:
                 flush()
-            links -= sum(name == "a" for name, _ in stack[depth:])
-            del stack[depth:]
+            while len(stack) > depth:
+                name, _ = stack.pop()
+                opened[name].pop()
+                links -= name == "a"
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
+
+        def end_open(ends, walls):
+            """Close the outermost open element of ``ends`` that no wall shields."""
+            wall = max((opened[w][-1] for w in walls - ends if opened.get(w)), default=0)
+            inside = [depths[k] for e in ends if (depths := opened.get(e)) and (k := bisect_right(depths, wall)) < len(depths)]
+            if inside:
+                close(min(inside))
 
         at, n = 0, len(html)
         while at < n:
@@ -194,18 +217,21 @@ class Page:
             at = m.end()
             tag = m[2].lower()
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                    if tag not in BLOCKS and stack[depth][0] in BLOCKS:
-                        break  # the end of an inline element closes no block
+                depth = opened[tag][-1] if opened.get(tag) else 0
+                if depth and (tag in BLOCKS or not blocks or blocks[-1] < depth):  # the end of an inline element closes no block
+                    close(depth)
                 continue
             if tag in RAW:
                 if not m[3].endswith("/"):
                     end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(html, at)
                     at = end.end() if end else n
                 continue
+            if tag in SKIPPED:
+                if not m[3].endswith("/"):
+                    end = re.compile(f"<(/?){tag}\\b[^>]*>?", re.I).search(html, at)
+                    if end and end[1]:  # else it is not closed, and what follows counts
+                        at = end.end()
+                continue
             if tag == "head":
                 continue
             if tag in VOID:
@@ -215,9 +241,9 @@ class Page:
                     flush()
                 continue
             if tag in CLOSES_P:
-                self._end_open(stack, {"p"}, {"td", "th", "li", "div", "section", "article", "blockquote"}, close)
+                end_open({"p"}, {"td", "th", "li", "div", "section", "article", "blockquote"})
             if tag in CLOSED_BY:
-                self._end_open(stack, *CLOSED_BY[tag], close)
+                end_open(*CLOSED_BY[tag])
             if tag in BLOCKS:
                 flush()
                 if tag == "html":
@@ -227,24 +253,12 @@ class Page:
                 self.names.append(names_of(m[3]) if m[3] and not m[3].isspace() else frozenset())
                 self.size.append(0)
                 self.linked.append(0)
-                stack.append((tag, len(self.tag) - 1))
+                push(tag, len(self.tag) - 1)
             else:
                 links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
         flush()
 
-    @staticmethod
-    def _end_open(stack, ends, walls, close) -> None:
-        """Close the outermost open element of ``ends`` that no wall shields."""
-        found = 0
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in ends:
-                found = depth
-            elif stack[depth][0] in walls:
-                break
-        if found:
-            close(found)
-
     def features(self, hide: frozenset[str] = frozenset()) -> list[list[int]]:
         out = []
         dots = [0] * len(self.tag)

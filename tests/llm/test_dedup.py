@@ -52,7 +52,7 @@ def test_passages_window_by_window(spark, monkeypatch):
     check_passages(spark, [(k, f"{prose(80 + k, 30)} {shared} {prose(130 + k, 30)}") for k in range(12)])
 
 
-def test_passages_over_piece_borders(monkeypatch):
+def test_passages_over_the_ends_of_pieces(monkeypatch):
     """A text longer than a piece gives the same windows, only in other runs."""
     text = prose(3, 3000).encode()
     whole = suffix_levels.anchored([text])
@@ -181,3 +181,16 @@ def test_one_of_each_class(spark):
     ids = {r["doc_id"] for r in kept.collect()}
     assert {k for k in range(24)} <= ids and not ids & {100, 101, 102, 103, 110, 111, *range(120, 126)}
     assert chosen_path.one_per_class(empty(spark)).count() == 0
+
+
+def test_rows_of_one_key_are_decided_apart(spark):
+    """Only the near copy goes, not another text of its key; of near copies without keys one stays."""
+    base, other, third = prose(71, 80), prose(72, 80), prose(73, 80)
+    rows = [(3, base), (5, near(base, 1, 1)), (5, other), (None, near(third, 1, 1)), (None, third), (None, prose(74, 60)), (None, ""), (9, third + " end")]
+    kept = chosen_path.one_per_class(documents(spark, rows)).select("doc_id", "text").collect()
+    got = [(r.doc_id, r.text) for r in kept]
+    assert (3, base) in got and (5, other) in got and (5, near(base, 1, 1)) not in got
+    assert (9, third + " end") in got and (None, prose(74, 60)) in got and (None, "") in got and len(got) == 5
+    pair = [(None, near(third, 1, 1)), (None, third), (None, None)]
+    kept = [r.text for r in chosen_path.one_per_class(documents(spark, pair)).collect()]
+    assert len(kept) == 2 and None in kept

@@ -1,6 +1,7 @@
 """Decontamination, toxicity, quality, urls and main text."""
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -300,3 +301,21 @@ def test_messages_give_exact_marginals():
 )
 def test_blocks_of_odd_markup(html, blocks):
     assert [t for _, t in main_text.Page(html).runs] == blocks
+
+
+def test_unclosed_elements_lose_nothing():
+    body = "<p>One sentence here. Another one there.</p>"
+    for tag in ("button", "video", "svg", "select", "canvas", "template"):
+        page = main_text.Page(f"<article>{body}<{tag} x=y>{body}<p>End of it.</p></article><footer><{tag}>go</{tag}></footer>")
+        texts = [t for _, t in page.runs]
+        assert texts.count("One sentence here. Another one there.") == 2 and "End of it." in texts and "go" not in texts
+        assert [t for _, t in main_text.Page(f"<p>a <{tag}>gone</{tag}> b").runs] == ["a b"]
+    assert [t for _, t in main_text.Page("<p>x <math><mi>y</mi></math> <object>z</object>").runs] == ["x y z"]
+
+
+def test_hostile_pages_take_linear_time():
+    n = 40_000
+    for page in ("<span>" * n + "</i>" * n, "<i><div>" + "<span>" * n + "</i>" * n, "<p><div>" + "<ul>" * n, "<li><table>" + "<td>" * n, "<button>" * n, "<ul>" * n + "</ol>" * n):
+        start = time.time()
+        main_text.Page(f"<article>{page}")
+        assert time.time() - start < 4
