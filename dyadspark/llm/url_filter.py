@@ -6,8 +6,8 @@ url is judged by its template:
 1. Numbers in a path become ``<n>``; urls are counted by (host, path) with the labels of those that have one.
 2. From the root down, a segment keeps its name if it has ``SUPPORT`` labels and its share of good ones differs from its
    siblings' by a likelihood-ratio test, corrected for the number of siblings tested; all other siblings are merged into
-   the wildcard ``*``. What a segment's share of its node's urls is does not matter. Segments from ``DEPTH`` on are one
-   wildcard ``**``.
+   the wildcard ``*``. What a segment's share of its node's urls is and how deep it lies does not matter. Below nodes
+   with fewer labels than that nothing can be told apart, so the rest of their paths is written as wildcards at once.
 3. A template is rejected if its purity is too low. Purity is the share of good labels, smoothed towards the host's,
    which is smoothed towards that of all labels.
 
@@ -18,12 +18,13 @@ Without labels everything that no rule blocks is allowed.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadspark.session import stored
 
-DEPTH = 8
 SUPPORT = 5  # labels of a segment that is tested
 SIGNIFICANT = 2.58  # standard errors, where one segment is tested
 SMOOTH = 20.0  # labels that the prior counts for
@@ -49,9 +50,8 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path with numbers as ``<n>``, the tail from ``DEPTH`` on as one."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    """Segments of a path with numbers as ``<n>``."""
+    return F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/")
 
 
 def likelihood_ratio(good: Column, labelled: Column, all_good: Column, all_labelled: Column) -> Column:
@@ -67,7 +67,7 @@ def templates(counted: DataFrame) -> DataFrame:
     The rows are distinct (host, parts); at each level their prefix grows by the segment or by a wildcard.
     """
     now = counted.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
+    for level in count():
         segment = F.get("parts", F.lit(level))
         here = now.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment"))
         child = here.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
@@ -85,8 +85,13 @@ def templates(counted: DataFrame) -> DataFrame:
             F.concat("template", F.lit("/" if level else ""), label)
         )
         now = stored(step.withColumn("template", longer).select(*now.columns))
-        if not now.where(F.size("parts") > level + 1).take(1):
+        below = now.where(F.size("parts") > level + 1).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"))
+        most = below.agg(F.max("labelled")).first()[0]
+        if most is None:
             break
+        if most < SUPPORT:  # no segment further down can be tested
+            rest = F.expr(f"repeat('/*', greatest(size(parts) - {level + 1}, 0))")
+            return now.withColumn("template", F.concat("template", rest))
     return now
 
 

@@ -47,12 +47,12 @@ LABELLERS = [
 
 def shape(chunk: str) -> str:
     """Letters as ``a`` or ``A``, digits as 1, marks as they are; runs once."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "1" if c.isdigit() else c for c in chunk[:64])
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "1" if c.isdigit() else c for c in chunk)
     out = ""
     for k in kinds:
         if not out.endswith(k):
             out += k
-    return out[:8]
+    return out
 
 
 def entry(chunk: str) -> bytes:

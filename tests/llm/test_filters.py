@@ -1,8 +1,8 @@
 """Decontamination, toxicity, quality, urls and main text."""
 
 import random
-import time
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -319,3 +319,17 @@ def test_hostile_pages_take_linear_time():
         start = time.time()
         main_text.Page(f"<article>{page}")
         assert time.time() - start < 4
+
+
+def test_shapes_of_whole_words():
+    assert weak_labels.shape("a" * 70 + "###") == "a#" and weak_labels.shape("aA1-aA1-aA1-") == "aA1-aA1-aA1-"
+
+
+def test_branches_far_down_the_path(spark):
+    """Two branches that part at the tenth segment."""
+    deep = "https://deep.org" + "/x" * 9
+    urls = [(k, f"{deep}/{'bad' if k % 2 else 'good'}/page{k}") for k in range(120)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(u, k % 2 ^ 1) for k, u in urls if k < 80], "url string, good int")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, labels, []).collect()}
+    assert got == {k: "block" if k % 2 else "allow" for k in range(120)}
