@@ -63,7 +63,7 @@ def test_empty_corpus(spark, tmp_path):
 
 
 def test_names_of_the_queries():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
