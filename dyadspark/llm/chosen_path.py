@@ -1,8 +1,9 @@
 """Jaccard join of word shingles by chosen paths.
 
 A text is the set of its shingles of five words (letters and digits, lower case; a shorter text is one shingle). Texts
-with the same set are one node, so copies are never compared. In each of ``RUNS`` runs a node follows a path of shingles
-that it samples: the least by the run's and level's hash. Two sets of similarity s share a step with chance s.
+with the same set are one node, so copies are never compared. In each run a node follows a path of shingles that it
+samples: the least by the run's and level's hash. Two sets of similarity s share a step with chance s, so a run that splits
+buckets ``LEVELS`` times finds them with chance s ** LEVELS; runs are repeated until the target recall is reached even then.
 
 * Buckets (nodes on one path) are split recursively by the next sampled shingle while they are large, unless the largest
   part would keep half of the bucket: such a bucket is dense, splitting it would only lose links.
@@ -11,8 +12,9 @@ that it samples: the least by the run's and level's hash. Two sets of similarity
 * A pair counts in the first bucket that it shares, so links are counted, not listed. Each task returns a row per member
   with its number of links and a spanning forest; components are found from these by alternating large and small stars.
 
-Recall for similarity 0.8: one step finds 1 - 0.2 ** 8 (all but 3 in a million), two steps 0.9997, three 0.997; higher for
-more similar texts. Every link found is exact (9 * common >= 4 * (a + b) for the threshold 0.8).
+Recall at the threshold itself is at least ``RECALL`` per link in the deepest buckets and higher in all others: for 0.8
+(8 runs) one step finds all but 3 in a million, two steps 0.9997, three 0.997; for 0.5 (40 runs) three steps find 0.995.
+Every link found is exact (9 * common >= 4 * (a + b) for the threshold 0.8).
 
 Null texts count as empty. A text without words is a class of its own without links. Keys may repeat or be null; copies
 count as links of each other. An empty table gives an empty result.
@@ -21,6 +23,7 @@ count as links of each other. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -35,7 +38,8 @@ from dyadspark.llm.decontamination import numbered
 from dyadspark.session import stored
 
 WORDS = 5
-RUNS, LEVELS = 8, 3
+LEVELS = 3
+RECALL = 0.995  # chance per link of the threshold's similarity in buckets of the last level
 SMALL = 64  # buckets up to this size are compared at once
 BLOCK, BLOCK_TOKENS = 1024, 6_000_000  # nodes and shingles of a block of a larger bucket
 
@@ -44,11 +48,17 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-FACTORS = odd_numbers(RUNS * LEVELS, 7)
-SHIFTS = odd_numbers(RUNS * LEVELS, 8)
 ROLL = odd_numbers(WORDS, 9)
 
 
+def runs_for(threshold: float, recall: float = RECALL) -> int:
+    """The least number of runs that finds a link of the threshold's similarity with the target recall."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("the threshold lies in (0, 1], the recall between 0 and 1")
+    miss = 1 - threshold**LEVELS
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss))) if miss > 0 else 1
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """The distinct shingles of a text as 64-bit numbers."""
     n = len(words)
@@ -65,24 +75,25 @@ def node_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def paths(found: np.ndarray) -> np.ndarray:
+def paths(found: np.ndarray, runs: int) -> np.ndarray:
     """Numbers of the paths after each level, run by run."""
-    least = np.empty(RUNS * LEVELS, np.uint64)
+    factors, shifts = odd_numbers(runs * LEVELS, 7), odd_numbers(runs * LEVELS, 8)
+    least = np.empty(runs * LEVELS, np.uint64)
     for k in range(0, len(found), 20_000):
         part = found[k : k + 20_000]
-        mixed = part[None, :] * FACTORS[:, None] + SHIFTS[:, None]
+        mixed = part[None, :] * factors[:, None] + shifts[:, None]
         best = mixed.min(axis=1)
         least = best if not k else np.minimum(least, best)
-    steps = least.reshape(RUNS, LEVELS)
-    out = np.empty((RUNS, LEVELS), np.uint64)
-    path = np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    steps = least.reshape(runs, LEVELS)
+    out = np.empty((runs, LEVELS), np.uint64)
+    path = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for level in range(LEVELS):
         path = mix64(path ^ steps[:, level])
         out[:, level] = path
     return out.view(np.int64).ravel()
 
 
-def described(df: DataFrame, key: str, text: str) -> DataFrame:
+def described(df: DataFrame, key: str, text: str, runs: int) -> DataFrame:
     """(key, node, size, paths, mark) of every row; node is null for texts without words, mark a hash of the text. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +103,7 @@ def described(df: DataFrame, key: str, text: str) -> DataFrame:
                 found = shingles(words)
                 nodes.append(node_of(found) if len(found) else None)
                 sizes.append(len(found))
-                ways.append(paths(found) if len(found) else None)
+                ways.append(paths(found, runs) if len(found) else None)
             new = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(ways, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new, batch.column(2)], names=schema.names)
 
@@ -102,9 +113,9 @@ def described(df: DataFrame, key: str, text: str) -> DataFrame:
     return stored(df.select(key, text, F.xxhash64(text).alias("mark_")).mapInArrow(run, schema))
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
+def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     """(node, size, run, leaf, members, tokens): the buckets in which each node is compared. Stored."""
-    run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))
+    run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
     now = nodes.select("node", "size", "paths", run.alias("run")).select(
         "node", "size", "run", F.slice("paths", F.col("run") * LEVELS + 1, F.lit(LEVELS)).alias("path")
     )
@@ -138,10 +149,10 @@ def without_repeats(found: DataFrame) -> DataFrame:
     return found.join(first.select(F.col("first.leaf").alias("leaf")), "leaf")
 
 
-def needed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def needed(nodes: DataFrame, found: DataFrame, runs: int) -> DataFrame:
     """(key, node, copies, met, targets): per node to be compared its leaf in each run and the block pairs to send it to."""
     met = found.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "leaf"))).alias("met"))
-    met = met.select("node", F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.col("met")[r], F.lit(0))).alias("met"))
+    met = met.select("node", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.col("met")[r], F.lit(0))).alias("met"))
     kept = without_repeats(found)
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
@@ -310,15 +321,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, key: str, text: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """Rows as (key, node) and nodes as (node, top, class_id, n_links); ``top`` names the class. Both stored."""
-    rows = described(df, key, text)
+    runs = runs_for(threshold, recall)
+    rows = described(df, key, text, runs)
     known = rows.where("node is not null")
     first = F.min(F.struct(F.col("key").isNull().alias("gap"), "key", "mark")).alias("first")  # null keys last
     nodes = known.groupBy("node").agg(first, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     nodes = stored(nodes.withColumns({"key": F.col("first.key"), "mark": F.col("first.mark")}).drop("first"))
-    found = leaves(nodes)
-    links = links_of(with_sets(df, needed(nodes, found), key, text), threshold)
+    found = leaves(nodes, runs)
+    links = links_of(with_sets(df, needed(nodes, found, runs), key, text), threshold)
     tops = components(links)
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
     described_nodes = nodes.select("node", "key", "copies").join(count, "node", "left").join(tops, "node", "left")
@@ -328,9 +340,9 @@ def classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataF
     return rows.select("key", "node"), described_nodes.join(least, "top").select("node", "top", "class_id", links_all)
 
 
-def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def joined(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
     """(key, class_id, n_links) of every row: the least key of its component, and the number of rows it is linked to."""
-    rows, place = classes(df, key, text, threshold)
+    rows, place = classes(df, key, text, threshold, recall)
     both = rows.join(place, "node", "left")
     alone = F.col("node").isNull()
     return both.select(
@@ -352,13 +364,13 @@ def with_nodes(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
-def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` that stay: of each class those with the least key (null keys are the greatest), then the least set.
 
     Rows are decided on one by one, by key and set of shingles: of rows with one key some may stay and others go. Rows
     that repeat with one key and one set count as one document and stay together; rows without words stay.
     """
-    rows, place = classes(df, key, text, threshold)
+    rows, place = classes(df, key, text, threshold, recall)
     documents = rows.where("node is not null").distinct().join(place.select("node", "top"), "node")
     rank = F.struct(F.col("key").isNull().alias("gap"), "key", "node")
     best = documents.groupBy("top").agg(F.min(rank).alias("best"))

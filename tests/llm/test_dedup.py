@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from dyadspark.llm import chosen_path, chunk_recipes, suffix_levels
@@ -174,6 +175,32 @@ def test_recall_at_the_threshold(spark):
     assert sum(n for (_, _, n), c in want.items() for _ in range(c)) >= 100
 
 
+def test_runs_follow_the_target_recall():
+    """As many runs as the deepest buckets need, for every threshold; never fewer for a higher target."""
+    assert chosen_path.runs_for(0.8) == 8 and chosen_path.runs_for(1.0) == 1
+    for s in (0.3, 0.5, 0.7, 0.9):
+        for recall in (0.9, 0.995, 0.9999):
+            n, miss = chosen_path.runs_for(s, recall), 1 - s**chosen_path.LEVELS
+            assert miss**n <= 1 - recall < miss ** (n - 1)
+    for bad in ((0, 0.9), (1.1, 0.9), (0.8, 1.0)):
+        with pytest.raises(ValueError):
+            chosen_path.runs_for(*bad)
+
+
+def test_recall_at_one_half_and_three_levels(spark, monkeypatch):
+    """A lower threshold gets more runs, so that pairs in buckets split to the last level are found as well."""
+    monkeypatch.setattr(chosen_path, "SMALL", 1)
+    rows = []
+    for k in range(60):
+        text = prose(5000 + k, 120)
+        rows += [(2 * k, text), (2 * k + 1, " ".join(text.split(" ")[:-38] + prose(6000 + k, 38).split(" ")))]
+    sets = [shingle_set(t) for _, t in rows]
+    want = {2 * k for k in range(60) if len(sets[2 * k] & sets[2 * k + 1]) * 2 >= len(sets[2 * k] | sets[2 * k + 1])}
+    got = {r["doc_id"]: r["n_links"] for r in chosen_path.joined(documents(spark, rows), threshold=0.5).collect()}
+    linked = {k for k in range(0, 120, 2) if got[k]}
+    assert len(want) >= 40 and linked <= want and len(linked) >= 0.95 * len(want)
+
+
 def test_one_of_each_class(spark):
     docs = documents(spark).withColumn("node", F.lit(1)).withColumn("class_id", F.lit(2))
     kept = chosen_path.one_per_class(docs)
