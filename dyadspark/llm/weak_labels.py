@@ -3,7 +3,8 @@
 1. One pass over the texts gives each document its votes and its hashed features (shapes of words, pairs of shapes,
    binned shares). Whole texts are read.
 2. Votes are counted by pattern (at most 3 ** labellers rows); on these counts expectation-maximisation finds how often
-   each labeller says junk, nothing or prose in either class, and so the posterior of every pattern.
+   each labeller says junk, nothing or prose in either class, and so the posterior of every pattern. A labeller's rate of
+   false alarms is drawn towards a small prior, but one that often calls prose junk is found out and counts less.
 3. A bounded sample of documents (``SAMPLE``, by a hash of key and features, so it does not depend on partitions) trains
    a logistic scorer on the posteriors; every document is scored.
 
@@ -24,13 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyadspark.llm.bpe import ChunkCache
-from dyadspark.llm.common import hash_sample, small_batches, worker_cache
+from dyadspark.llm.common import hash_sample, mix64, small_batches, worker_cache
 from dyadspark.session import stored
 
 BUCKETS = 4096
 SAMPLE = 20_000  # documents that train the scorer
 JUNK, NONE, PROSE = 0, 1, 2
-FALSE_ALARM = 0.003  # the limits below are so far from prose that a labeller calls it junk no more often than this
+#: Prior of how often a labeller calls prose junk (the limits below are far from prose), and its weight against the votes
+#: on prose. It is a share of them, so estimates do not depend on the number of documents.
+FALSE_ALARM, PRIOR = 0.003, 1.0
+PIECE = 4096  # words within which repeats are looked for, so that long texts are judged like short ones
 MARKS = re.compile(r"[#$%&*|!^~<>{}=+@\\_]")
 #: Each labeller: a share, and from where on it says junk or prose (either side may be the high one); shares between
 #: the two limits and texts of fewer words than the last number get no vote.
@@ -77,13 +81,14 @@ def shares(words: np.ndarray, text: str) -> dict[str, float]:
         return {name: 0.0 for name, *_ in LABELLERS}
     ids = words[:, 0].astype(np.uint64)
     letters = max(1, int(words[:, 2].sum()))
-    pairs = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]
+    piece = np.arange(n, dtype=np.uint64) // np.uint64(PIECE)
+    pairs = mix64(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:]) + piece[1:]
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     return {
         "marks": float(words[:, 4].sum()) / letters,
         "same_as_last": float(np.count_nonzero(ids[1:] == ids[:-1])) / n,
         "repeated_pairs": 1 - len(np.unique(pairs)) / len(pairs) if n > 1 else 0.0,
-        "distinct": len(np.unique(ids)) / n,
+        "distinct": len(np.unique(ids | piece << np.uint64(32))) / n,
         "capitals": float(words[:, 3].sum()) / letters,
         "same_lines": 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
         "marked_words": float(np.count_nonzero(words[:, 4])) / n,
@@ -166,8 +171,9 @@ def expectation_maximisation(counts: dict[int, int], steps: int = 500) -> dict[i
                 table = np.array([(weight * p)[said[:, k] == v].sum() + 0.5 for v in range(3)])
                 # Abstaining says nothing about the class.
                 voted = table[[JUNK, PROSE]] / (table[JUNK] + table[PROSE])
-                if c and voted[0] > FALSE_ALARM:
-                    voted = np.array([FALSE_ALARM, 1 - FALSE_ALARM])
+                if c:
+                    alarm = (voted[0] + PRIOR * FALSE_ALARM) / (1 + PRIOR)
+                    voted = np.array([alarm, 1 - alarm])
                 log[:, c] += np.log(np.array([voted[0], 1.0, voted[1]]))[said[:, k]]
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
         moved = np.abs(new - good).max()

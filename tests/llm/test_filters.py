@@ -185,6 +185,37 @@ def test_accuracies_are_found():
     assert wrong < 0.02 * 20_000
 
 
+@pytest.mark.parametrize("rate", [0.02, 0.1, 0.3])
+def test_a_bad_labeller_is_found_out(rate):
+    """A labeller that calls so many texts of either kind junk says nothing: texts that only it accuses stay."""
+    rng, m = np.random.default_rng(2), len(weak_labels.LABELLERS)
+    good = rng.random(20_000) < 0.8
+    chance = np.where(good[:, None], 0.002, [0.6] * 4 + [0.3] * 3)
+    chance[:, 0] = rate
+    votes = np.where(rng.random((len(good), m)) < chance, weak_labels.JUNK, weak_labels.PROSE)
+    votes[rng.random(votes.shape) < 0.1] = weak_labels.NONE
+    codes = votes @ 3 ** np.arange(m)[::-1]
+    counts = Counter(codes.tolist())
+    for scale in (1, 1000):
+        posterior = weak_labels.expectation_maximisation({c: n * scale for c, n in counts.items()})
+        kept = np.array([posterior[c] >= 0.5 for c in codes.tolist()])
+        assert (good & ~kept).mean() < 0.01 and (kept != good).mean() < 0.025
+
+
+def test_length_is_no_fault():
+    """The shares of a text do not fall with its length: a hundred thousand words of prose are judged like a few thousand."""
+    rng = np.random.default_rng(5)
+    words = np.zeros((100_000, 5), "<u4")
+    words[:, 0] = rng.zipf(1.15, 100_000) % 2**32
+    words[:, 2] = 5
+    seen = [weak_labels.shares(words[:n], "") for n in (4096, 20_000, 100_000)]
+    for name in ("distinct", "repeated_pairs"):
+        assert max(s[name] for s in seen) - min(s[name] for s in seen) < 0.03
+    same = np.tile(words[:50], (400, 1))
+    seen = weak_labels.shares(same, "")
+    assert seen["distinct"] < 0.05 and seen["repeated_pairs"] > 0.9
+
+
 # -- urls --------------------------------------------------------------------------------------------------------------
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow")]
