@@ -5,18 +5,23 @@ start, its anchor: the place whose first ``HEAD`` bytes have the least hash (the
 the same anchor at the same place, so only suffixes at anchors (about one in seventy bytes) are kept, ordered by the hash
 of their first ``HEAD`` bytes ("head").
 
-* Texts come in batches. The anchored suffixes of a batch, sorted by head and counted, are its suffix array. It is
-  merged with the levels of its size (and so on upwards), so the levels grow geometrically, and it is scanned against the
-  larger ones. Every scan yields the heads that the new batch shares with itself or with an older level.
-* Suffixes with a shared head are looked at closer. An anchor stands for a run of windows; if the text under the whole
-  run ("body") occurs twice, the run is repeated. Of bodies that occur once but share their head, one text each (at most
-  2 * WINDOW - HEAD bytes) is sent to its head's group, where every window is compared. Heads with very many bodies are
-  compared window by window in one distributed count instead of in a group.
+* Texts come in batches. The anchored suffixes of a batch, in the order of their heads and of the text under all their
+  windows ("body", a run's bytes), are its suffix array; equal ones are one entry with a count and a place. A new array is
+  merged with the level of its size (and so on upwards), so the levels grow geometrically.
+* The merge scan brings the new array together with all levels. Where a body of the new batch is met again, all windows
+  of the run are repeated: the scan gives the spans of the new texts, and of the older text where the body stood alone so
+  far. Where only the head is met again, the scan notes the head.
+* The bodies of noted heads are looked at closer. One text each (at most 2 * WINDOW - HEAD bytes) is sent to its head's
+  group, where every window is compared. Heads with very many bodies are compared window by window in one distributed
+  count instead of in a group.
 * Repeated windows of a text are joined to spans, and the bytes they cover are removed. All decisions rest on the input.
 
+A family can be saved and opened again, and further batches added; ``spans(..., last=k)`` then gives what the last ``k``
+batches made known, in new and old texts, from their scans alone.
+
 Texts are whole UTF-8 byte strings and windows never cross texts; a null text is empty; texts shorter than ``WINDOW``
-keep everything. Equal texts are found through a 64-bit number of their bytes. Keys may repeat or be null. An empty table
-gives an empty result.
+keep everything. Texts are told apart by 80 bits of a hash of their bytes, bodies by two 64-bit hashes (head and body).
+Keys may repeat or be null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +43,7 @@ SPREAD = WINDOW - HEAD  # an anchor is at most so far from its window's start
 BATCHES = 4
 GROUP = 20_000  # bodies of a head that one task compares
 PIECE = 1_000_000  # window starts that are looked at together
+SALTS = 8  # parts of a noted head's bodies when they are picked out
 PLACE_BITS = 23
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
@@ -129,8 +135,11 @@ def _anchored(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return owner, begin, length, place - first, head[place], body
 
 
-def text_number(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def text_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers per text, of 64 and of 16 bits, that stand for its bytes."""
+    both = b"".join(hashlib.blake2b(t, digest_size=10).digest() for t in texts)
+    parts = np.frombuffer(both, np.dtype([("number", "<i8"), ("tag", "<u2")]))
+    return parts["number"].copy(), parts["tag"].astype(np.int64)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -143,92 +152,142 @@ def signed(x: np.ndarray) -> pa.Array:
 
 # -- the index ---------------------------------------------------------------------------------------------------------
 
+# place holds first window, anchor's distance from it, number of windows - 1, and the text's tag
+FIRST, LENGTH, TAG = "shiftright(place, 32)", "(shiftright(place, 16) & 255)", "(place & 65535)"
+
 
-def suffix_array(df: DataFrame, text: str) -> DataFrame:
-    """(head, n, fresh) of a batch, n and fresh both the number of its suffixes with that head."""
+def suffixes(df: DataFrame, text: str = "text") -> DataFrame:
+    """(text, place, head, body) of every anchored suffix; ``text`` is the number of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
-            head, count = np.unique(anchored(texts_of(batch.column(0)))[4], return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(head), pa.array(count, pa.int64())], names=["head", "n"])
+            texts = texts_of(batch.column(0))
+            number, tag = text_numbers(texts)
+            owner, begin, length, anchor, head, body = anchored(texts)
+            place = begin << 32 | anchor << 24 | length << 16 | tag[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(number[owner]), pa.array(place), signed(head), signed(body)], names=["text", "place", "head", "body"])
+
+    return df.select(text).mapInArrow(run, "text long, place long, head long, body long")
 
-    return df.select(text).mapInArrow(run, "head long, n long").withColumn("fresh", F.col("n"))
 
+def summed(entries: DataFrame) -> DataFrame:
+    """Entries (head, body, n, fresh, text, place) merged: counts of suffixes, those of the new batch, one place, an old one if any."""
+    place = F.min(F.struct((F.col("n") == F.col("fresh")).alias("new"), "text", "place"))
+    both = entries.groupBy("head", "body").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"), place.alias("at"))
+    return both.select("head", "body", "n", "fresh", "at.text", "at.place")
 
-class Levels:
-    """The family: each level is a sorted table (head, n, fresh) over so many batches."""
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class Family:
+    """The family: each level is a sorted suffix array over so many batches; and what every merge scan found.
+
+    ``levels`` holds (batches, table of (head, body, n, fresh, text, place)). ``whole`` holds per scan the (text, place) of
+    runs that are repeated as a whole, ``noted`` the (head, held, bodies, open) of heads with several bodies; ``open``
+    tells whether one of these bodies stands alone.
+    """
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
-        self.shared: list[DataFrame] = []
+        self.whole: list[DataFrame] = []
+        self.noted: list[DataFrame] = []
 
     def add(self, batch: DataFrame) -> None:
-        """Merge a batch's suffix array upwards through levels of equal size, and scan it against the larger ones."""
-        size, parts = 1, [batch]
+        """Merge a batch's suffixes upwards through levels of equal size, and scan them against all levels."""
+        old = lambda level: level.withColumn("fresh", F.lit(0).cast("long"))
+        one = F.lit(1).cast("long")
+        size, entries = 1, [batch.select("head", "body", one.alias("n"), one.alias("fresh"), "text", "place")]
         while self.levels and self.levels[-1][0] == size:
-            parts.append(self.levels.pop()[1].withColumn("fresh", F.lit(0).cast("long")))
+            entries.append(old(self.levels.pop()[1]))
             size *= 2
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        merged = merged.groupBy("head").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
-        merged = stored(merged.sortWithinPartitions("head"))
-        fresh = merged.where("fresh > 0")
-        self.shared.append(fresh.where("n > 1").select("head"))
-        for _, level in self.levels:
-            self.shared.append(fresh.select("head").join(level.select("head"), "head"))
+        merged = stored(summed(together(entries)).sortWithinPartitions("head", "body"))
+        seen = stored(summed(together([merged, *(old(level) for _, level in self.levels)]))) if self.levels else merged
         self.levels.append((size, merged))
 
-    def heads(self) -> DataFrame:
-        """All heads that some scan found shared."""
-        out = self.shared[0]
-        for more in self.shared[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
-
-
-def indexed(df: DataFrame, text: str = "text", batches: int = BATCHES) -> Levels:
-    """The index of all texts, batch after batch (here a batch is a share of the table by the texts' hash)."""
-    family = Levels()
+        again = seen.where("fresh > 0 and n > 1")
+        new = batch.join(again.select("head", "body"), ["head", "body"], "left_semi")
+        alone_so_far = again.where("n = fresh + 1")
+        self.whole.append(new.select("text", "place").unionByName(alone_so_far.select("text", "place")))
+        heads = seen.groupBy("head").agg(
+            F.sum("fresh").alias("fresh"), F.sum("n").alias("held"), F.count("*").alias("bodies"), F.max(F.col("n") == 1).alias("open")
+        )
+        self.noted.append(heads.where("fresh > 0 and bodies > 1").drop("fresh"))
+
+    def spans(self, texts: DataFrame, text: str = "text", last: int | None = None) -> DataFrame:
+        """(number, tag, spans): per text its repeated strings as spans (start, end) in order, as far as the ``last`` scans tell.
+
+        ``texts`` are the texts of all batches: the arrays hold places, not bytes.
+        """
+        since = 0 if last is None else max(len(self.whole) - last, 0)
+        place = [F.expr(TAG).alias("tag"), F.expr(FIRST).alias("start"), F.expr(f"{FIRST} + {LENGTH} + {WINDOW}").alias("end")]
+        whole = together(self.whole[since:]).select("text", *place)
+        # a head's last note is the one that holds most suffixes
+        several = together(self.noted[since:]).groupBy("head").agg(F.max(F.struct("held", "bodies", "open")).alias("at"))
+        several = several.where("at.open").select("head", "at.bodies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        bodies = together([level for _, level in self.levels])
+        bodies = (summed(bodies) if len(self.levels) > 1 else bodies).withColumn("salt", F.pmod("body", F.lit(SALTS)).cast("int"))
+        wanted = bodies.join(several, ["head", "salt"]).select("head", "body", "n", "bodies", "text", "place")
+        parts = stored(cut_out(texts, wanted, text))
+        pieces = whole.unionByName(compared(parts.where(F.col("bodies") <= GROUP)))
+        if parts.where(F.col("bodies") > GROUP).take(1):
+            pieces = pieces.unionByName(counted(parts.where(F.col("bodies") > GROUP)))
+        spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
+        return pieces.groupBy("text", "tag").agg(spans).withColumnRenamed("text", "number")
+
+    def save(self, folder: str) -> None:
+        """Write the family's tables below ``folder`` (a new one), the number of its batches last."""
+        for size, level in self.levels:
+            level.write.parquet(f"{folder}/level-{size}")
+        for k, (whole, noted) in enumerate(zip(self.whole, self.noted)):
+            whole.write.parquet(f"{folder}/whole-{k}")
+            noted.write.parquet(f"{folder}/noted-{k}")
+        spark = self.levels[0][1].sparkSession
+        spark.range(len(self.whole), len(self.whole) + 1, numPartitions=1).write.parquet(f"{folder}/batches")
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> Family:
+        """A saved family. Its levels are the powers of two that make up the number of its batches."""
+        family, read = cls(), lambda name: spark.read.parquet(f"{folder}/{name}")
+        n = read("batches").first()[0]
+        family.levels = [(1 << k, read(f"level-{1 << k}")) for k in reversed(range(n.bit_length())) if n >> k & 1]
+        family.whole = [read(f"whole-{k}") for k in range(n)]
+        family.noted = [read(f"noted-{k}") for k in range(n)]
+        return family
+
+
+def indexed(df: DataFrame, text: str = "text", batches: int = BATCHES) -> Family:
+    """The family of all texts, batch after batch (here a batch is a share of the table by the texts' numbers)."""
+    family = Family()
+    found = stored(suffixes(df, text))
     for k in range(batches):
-        family.add(suffix_array(df.where(F.pmod(F.xxhash64(text), F.lit(batches)) == k), text))
+        family.add(found.where(F.pmod("text", F.lit(batches)) == k))
     return family
 
 
 # -- repeated runs -----------------------------------------------------------------------------------------------------
 
 
-def suffixes(df: DataFrame, text: str) -> DataFrame:
-    """(text, place, head, body) of every anchored suffix; place holds first window, anchor and number of windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
-            texts = texts_of(batch.column(0))
-            numbers = np.array([text_number(t) for t in texts], np.int64)
-            owner, begin, length, anchor, head, body = anchored(texts)
-            place = begin << 32 | anchor << 20 | length
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[owner]), pa.array(place), signed(head), signed(body)], names=["text", "place", "head", "body"])
-
-    return df.select(text).mapInArrow(run, "text long, place long, head long, body long")
-
-
-FIRST, ANCHOR, LENGTH = "shiftright(place, 32)", "(shiftright(place, 20) & 4095)", "(place & 1048575)"
-
-
 def blobs(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """``keys`` with (number, n_bytes, blob): texts as numbers and compressed bytes, for the shuffles."""
+    """``keys`` with (number, tag, n_bytes, blob): texts as numbers and compressed bytes, for the shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text):
             texts = texts_of(batch.column(len(keys)))
+            number, tag = text_numbers(texts)
             new = [
-                pa.array([text_number(t) for t in texts], pa.int64()),
+                pa.array(number),
+                pa.array(tag),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in texts], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *new], names=schema.names)
 
-    new = (("number", T.LongType()), ("n_bytes", T.LongType()), ("blob", T.BinaryType()))
+    new = (("number", T.LongType()), ("tag", T.LongType()), ("n_bytes", T.LongType()), ("blob", T.BinaryType()))
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(*f) for f in new)])
     return df.select(*keys, text).mapInArrow(run, schema)
 
@@ -238,10 +297,10 @@ def unpacked(blob: bytes, size: int) -> bytes:
 
 
 def cut_out(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(head, body, n, bodies, text, first, anchor, part): the bytes under each wanted run."""
-    packed = blobs(df.where(F.octet_length(text) >= WINDOW), text, []).dropDuplicates(["number"])
-    runs = wanted.groupBy("text").agg(F.collect_list(F.struct("head", "body", "n", "bodies", "place")).alias("runs"))
-    both = packed.join(runs, packed["number"] == runs["text"]).select("number", "n_bytes", "blob", "runs")
+    """(head, body, n, bodies, text, tag, first, anchor, part): the bytes under each wanted run."""
+    packed = blobs(df.where(F.octet_length(text) >= WINDOW), text, []).dropDuplicates(["number", "tag"])
+    runs = wanted.groupBy(F.col("text").alias("number"), F.expr(TAG).alias("tag")).agg(F.collect_list(F.struct("head", "body", "n", "bodies", "place")).alias("runs"))
+    both = packed.join(runs, ["number", "tag"]).select("number", "tag", "n_bytes", "blob", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,13 +308,13 @@ def cut_out(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 data = unpacked(r["blob"], r["n_bytes"])
                 out = []
                 for w in r["runs"]:
-                    first, anchor, length = w["place"] >> 32, w["place"] >> 20 & 4095, w["place"] & 1048575
-                    out.append((w["head"], w["body"], w["n"], w["bodies"], r["number"], first, anchor, data[first : first + length + WINDOW]))
-                kinds = [pa.int64()] * 7 + [pa.binary()]
+                    first, anchor, length = w["place"] >> 32, w["place"] >> 24 & 255, w["place"] >> 16 & 255
+                    out.append((w["head"], w["body"], w["n"], w["bodies"], r["number"], r["tag"], first, anchor, data[first : first + length + WINDOW]))
+                kinds = [pa.int64()] * 8 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    names = ["head", "body", "n", "bodies", "text", "first", "anchor", "part"]
-    return both.mapInArrow(run, "head long, body long, n long, bodies long, text long, first long, anchor long, part binary")
+    names = ["head", "body", "n", "bodies", "text", "tag", "first", "anchor", "part"]
+    return both.mapInArrow(run, "head long, body long, n long, bodies long, text long, tag long, first long, anchor long, part binary")
 
 
 def window_hashes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,8 +343,8 @@ def window_hashes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(owners), np.concatenate(offsets), np.concatenate(codes)
 
 
-def spans_of(row: np.ndarray, offset: np.ndarray, rows: list[dict]) -> list[tuple[int, int, int]]:
-    """(text, start, end) of runs of windows; ``row`` and ``offset`` are in order."""
+def spans_of(row: np.ndarray, offset: np.ndarray, rows: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(text, tag, start, end) of runs of windows; ``row`` and ``offset`` are in order."""
     if not len(row):
         return []
     fresh = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)]))
@@ -293,20 +352,20 @@ def spans_of(row: np.ndarray, offset: np.ndarray, rows: list[dict]) -> list[tupl
     out = []
     for a, b in zip(fresh.tolist(), last.tolist()):
         r = rows[row[a]]
-        out.append((r["text"], r["first"] + int(offset[a]), r["first"] + int(offset[b]) + WINDOW))
+        out.append((r["text"], r["tag"], r["first"] + int(offset[a]), r["first"] + int(offset[b]) + WINDOW))
     return out
 
 
-def span_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["text", "start", "end"])
+def span_batch(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["text", "tag", "start", "end"])
 
 
 def compared(parts: DataFrame) -> DataFrame:
-    """(text, start, end) of repeated windows among bodies that share their head: a group of bodies at a time."""
+    """(text, tag, start, end) of repeated windows among bodies that share their head: a group of bodies at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def flush():
             if len(rows) > 1:
@@ -331,7 +390,7 @@ def compared(parts: DataFrame) -> DataFrame:
             yield span_batch(out)
 
     dealt = parts.repartition("head").sortWithinPartitions("head", "body")
-    return dealt.mapInArrow(run, "text long, start long, end long")
+    return dealt.mapInArrow(run, "text long, tag long, start long, end long")
 
 
 def counted(parts: DataFrame) -> DataFrame:
@@ -344,36 +403,26 @@ def counted(parts: DataFrame) -> DataFrame:
                 row, offset, code = window_hashes(rows)
                 pick = lambda c: np.array([r[c] for r in rows], np.int64)[row]
                 start = pick("first") + offset
-                columns = [pa.array(pick("body")), pa.array(pick("n")), pa.array(pick("text")), pa.array(start), signed(code)]
-                yield pa.RecordBatch.from_arrays(columns, names=["body", "n", "text", "start", "code"])
+                columns = [*(pa.array(pick(c)) for c in ("head", "body", "n", "text", "tag")), pa.array(start), signed(code)]
+                yield pa.RecordBatch.from_arrays(columns, names=["head", "body", "n", "text", "tag", "start", "code"])
 
-    windows = stored(parts.mapInArrow(run, "body long, n long, text long, start long, code long").dropDuplicates(["body", "start"]))
-    several = windows.groupBy("code").count().where("count > 1").select("code")
-    return windows.where("n = 1").join(several, "code").select("text", "start", (F.col("start") + WINDOW).alias("end"))
+    kinds = "head long, body long, n long, text long, tag long, start long, code long"
+    windows = stored(parts.mapInArrow(run, kinds).dropDuplicates(["head", "body", "start"]))
+    several = windows.groupBy("head", "code").count().where("count > 1").select("head", "code")
+    return windows.where("n = 1").join(several, ["head", "code"]).select("text", "tag", "start", (F.col("start") + WINDOW).alias("end"))
 
 
 def repeated(df: DataFrame, text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """(number, spans): per text number the spans (start, end) that cover its repeated strings, in order. Stored."""
+    """(number, tag, spans): per text the spans (start, end) that cover its repeated strings, in order."""
     long = df.where(F.octet_length(text) >= WINDOW)
-    heads = indexed(long, text, batches).heads()
-    marked = stored(suffixes(long, text).join(heads, "head", "left_semi"))
-    bodies = marked.groupBy("body").agg(F.count("*").alias("n"), F.first("head").alias("head"), F.min(F.struct("text", "place")).alias("at"))
-    bodies = stored(bodies.select("body", "n", "head", "at.text", "at.place"))
-    whole = marked.join(bodies.where("n > 1").select("body"), "body", "left_semi")
-    whole = whole.select("text", F.expr(FIRST).alias("start"), F.expr(f"{FIRST} + {LENGTH} + {WINDOW}").alias("end"))
-    several = bodies.groupBy("head").agg(F.count("*").alias("bodies"), F.max(F.when(F.col("n") == 1, 1).otherwise(0)).alias("open")).where("bodies > 1 and open = 1")
-    parts = stored(cut_out(long, bodies.join(several.select("head", "bodies"), "head"), text))
-    pieces = whole.unionByName(compared(parts.where(F.col("bodies") <= GROUP)))
-    if parts.where(F.col("bodies") > GROUP).take(1):
-        pieces = pieces.unionByName(counted(parts.where(F.col("bodies") > GROUP)))
-    return pieces.groupBy("text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).withColumnRenamed("text", "number")
+    return indexed(long, text, batches).spans(long, text)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """(key, n_bytes, spans, kept): every text without its repeated strings; spans are (start, end), kept is binary."""
     found = repeated(df, text, batches)
     packed = blobs(df, text, [key])
-    both = packed.join(found, "number", "left").select(key, "n_bytes", "blob", "spans")
+    both = packed.join(found, ["number", "tag"], "left").select(key, "n_bytes", "blob", "spans")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,10 +64,56 @@ def test_passages_over_the_ends_of_pieces(monkeypatch):
 
 
 def test_levels_grow_geometrically(spark):
+    """Levels hold every suffix of their batches once counted, in order within their parts."""
     family = suffix_levels.indexed(documents(spark), batches=7)
     assert [size for size, _ in family.levels] == [4, 2, 1]
+    held = Counter()
     for _, level in family.levels:
-        assert level.count() == level.select("head").distinct().count()
+        rows = [(r["head"], r["body"]) for r in level.collect()]
+        assert len(rows) == len(set(rows))
+        held.update({(r["head"], r["body"]): r["n"] for r in level.collect()})
+        for part in level.rdd.glom().collect():
+            assert [(r["head"], r["body"]) for r in part] == sorted((r["head"], r["body"]) for r in part)
+    every = suffix_levels.anchored([(t or "").encode() for _, t in corpus()])
+    signed = lambda x: x.view("int64").tolist()
+    assert held == Counter(zip(signed(every[4]), signed(every[5])))
+
+
+def by_text(texts, spans):
+    """The merged spans of every text that has some."""
+    number, tag = suffix_levels.text_numbers([t.encode() for t in texts])
+    found = {(r["number"], r["tag"]): [(s["start"], s["end"]) for s in r["spans"]] for r in spans.collect()}
+    out = {}
+    for text, n, g in zip(texts, number.tolist(), tag.tolist()):
+        flags = bytearray(len(text.encode()))
+        for a, b in found.get((n, g), ()):
+            flags[a:b] = b"\1" * (b - a)
+        out[text] = bytes(flags)
+    return out
+
+
+def test_batches_one_by_one_through_a_saved_family(spark, tmp_path):
+    """After every batch the spans are those of brute force over all texts so far; the last scan alone tells what is new."""
+    shared, other = prose(1, 300), prose(7, 300)
+    texts = [f"{prose(10 + k, 40)}{shared[9 * k : 9 * k + 150 + 9 * k]}{prose(50 + k, 40)}" for k in range(12)]
+    texts += [f"{prose(200 + k, 30)} {other} {prose(300 + k, 30)}" for k in (0, 1, 2)]
+    parts = [texts[:4], texts[4:7] + texts[12:13], texts[7:9], texts[9:12] + texts[13:14], texts[14:] + texts[:1]]
+    family, so_far, before = suffix_levels.Family(), [], {}
+    for k, part in enumerate(parts):
+        so_far = so_far + part
+        family.add(suffix_levels.suffixes(spark.createDataFrame([(t,) for t in part], "text string")))
+        family.save(f"{tmp_path}/{k}")
+        family = suffix_levels.Family.opened(spark, f"{tmp_path}/{k}")
+        assert sum(size for size, _ in family.levels) == k + 1
+        everything = spark.createDataFrame([(t,) for t in so_far], "text string")
+        want = {t: bytes(flags) for t, (_, flags) in zip(so_far, covered(so_far))}
+        assert by_text(so_far, family.spans(everything)) == want
+        news = by_text(so_far, family.spans(everything, last=1))
+        for t in want:  # all that became repeated through this batch, and nothing that is not
+            assert all(w >= n for w, n in zip(want[t], news[t]))
+            old = before.get(t, bytes(len(want[t]))) if t not in part else bytes(len(want[t]))
+            assert all(n or o or not w for w, n, o in zip(want[t], news[t], old))
+        before = want
 
 
 def test_passages_of_no_texts(spark):
