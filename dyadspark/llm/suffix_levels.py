@@ -2,12 +2,14 @@
 
 A string of ``WINDOW`` bytes is repeated if it starts anywhere else. Every such string contains exactly one chosen suffix
 start, its anchor: the place whose first ``HEAD`` bytes have the least hash (the leftmost of equals). Equal strings have
-the same anchor at the same place, so only suffixes at anchors (about one in seventy bytes) are kept, ordered by the hash
+the same anchor at the same place, so only suffixes at anchors (about one in eighty-five bytes) are kept, ordered by the hash
 of their first ``HEAD`` bytes ("head").
 
 * Texts come in batches. The anchored suffixes of a batch, in the order of their heads and of the text under all their
   windows ("body", a run's bytes), are its suffix array; equal ones are one entry with a count and a place. A new array is
-  merged with the level of its size (and so on upwards), so the levels grow geometrically.
+  merged with the level of its size (and so on upwards), so the levels grow geometrically. Arrays are stored in buckets
+  of heads, sorted, so merges and scans read them side by side: every suffix is shuffled once, into its batch's array. The
+  bodies of a head are dealt to ``SALTS`` buckets.
 * The merge scan brings the new array together with all levels. Where a body of the new batch is met again, all windows
   of the run are repeated: the scan gives the spans of the new texts, and of the older text where the body stood alone so
   far. Where only the head is met again, the scan notes the head.
@@ -35,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyadspark.llm.common import mix64, small_batches, worker_cache
+from dyadspark.llm.common import bucketed, in_buckets, mix64, small_batches, worker_cache
 from dyadspark.session import stored
 
-WINDOW, HEAD = 200, 64
+WINDOW, HEAD = 200, 32
 SPREAD = WINDOW - HEAD  # an anchor is at most so far from its window's start
 BATCHES = 4
 GROUP = 20_000  # bodies of a head that one task compares
 PIECE = 1_000_000  # window starts that are looked at together
-SALTS = 8  # parts of a noted head's bodies when they are picked out
+SALTS = 8  # buckets that share the bodies of a head
 PLACE_BITS = 23
 BASE = 0x9E3779B97F4A7C15 | 1
 BACK = pow(BASE, -1, 1 << 64)
@@ -154,6 +156,8 @@ def signed(x: np.ndarray) -> pa.Array:
 
 # place holds first window, anchor's distance from it, number of windows - 1, and the text's tag
 FIRST, LENGTH, TAG = "shiftright(place, 32)", "(shiftright(place, 16) & 255)", "(place & 65535)"
+ENTRY = "head long, salt int, body long, n long, fresh long, text long, place long"
+WANTED = ["head", "body", "n", "bodies", "text", "place"]
 
 
 def suffixes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -171,10 +175,21 @@ def suffixes(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def summed(entries: DataFrame) -> DataFrame:
-    """Entries (head, body, n, fresh, text, place) merged: counts of suffixes, those of the new batch, one place, an old one if any."""
+    """Entries (head, salt, body, n, fresh, text, place) merged: counts of suffixes, those of the new batch, one place, an old one if any."""
     place = F.min(F.struct((F.col("n") == F.col("fresh")).alias("new"), "text", "place"))
-    both = entries.groupBy("head", "body").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"), place.alias("at"))
-    return both.select("head", "body", "n", "fresh", "at.text", "at.place")
+    both = entries.groupBy("head", "salt", "body").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"), place.alias("at"))
+    return both.select("head", "salt", "body", "n", "fresh", "at.text", "at.place")
+
+
+def array(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Entries stored in buckets of (head, salt), sorted by head and body."""
+    return bucketed(df, ["head", "salt"], ["head", "body"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), folder)
+
+
+def noted(entries: DataFrame) -> DataFrame:
+    """(head, fresh, held, bodies, open) of all heads: their suffixes, different bodies, and whether one of these stands alone."""
+    sums = [F.sum("fresh").alias("fresh"), F.sum("n").alias("held"), F.count("*").alias("bodies"), F.max(F.col("n") == 1).alias("open")]
+    return entries.groupBy("head").agg(*sums)
 
 
 def together(tables: list[DataFrame]) -> DataFrame:
@@ -187,7 +202,7 @@ def together(tables: list[DataFrame]) -> DataFrame:
 class Family:
     """The family: each level is a sorted suffix array over so many batches; and what every merge scan found.
 
-    ``levels`` holds (batches, table of (head, body, n, fresh, text, place)). ``whole`` holds per scan the (text, place) of
+    ``levels`` holds (batches, table of (head, salt, body, n, fresh, text, place)). ``whole`` holds per scan the (text, place) of
     runs that are repeated as a whole, ``noted`` the (head, held, bodies, open) of heads with several bodies; ``open``
     tells whether one of these bodies stands alone.
     """
@@ -201,22 +216,21 @@ class Family:
         """Merge a batch's suffixes upwards through levels of equal size, and scan them against all levels."""
         old = lambda level: level.withColumn("fresh", F.lit(0).cast("long"))
         one = F.lit(1).cast("long")
-        size, entries = 1, [batch.select("head", "body", one.alias("n"), one.alias("fresh"), "text", "place")]
+        own = batch.select("head", F.pmod("body", F.lit(SALTS)).cast("int").alias("salt"), "body", one.alias("n"), one.alias("fresh"), "text", "place")
+        size, entries = 1, [array(summed(own))]
         while self.levels and self.levels[-1][0] == size:
             entries.append(old(self.levels.pop()[1]))
             size *= 2
-        merged = stored(summed(together(entries)).sortWithinPartitions("head", "body"))
-        seen = stored(summed(together([merged, *(old(level) for _, level in self.levels)]))) if self.levels else merged
+        merged = array(summed(together(entries))) if len(entries) > 1 else entries[0]
+        seen = array(summed(together([merged, *(old(level) for _, level in self.levels)]))) if self.levels else merged
         self.levels.append((size, merged))
 
         again = seen.where("fresh > 0 and n > 1")
-        new = batch.join(again.select("head", "body"), ["head", "body"], "left_semi")
+        keys = stored(again.select("head", "body"))  # no buckets: a body of very many suffixes can be split
+        new = batch.join(keys, ["head", "body"], "left_semi")
         alone_so_far = again.where("n = fresh + 1")
         self.whole.append(new.select("text", "place").unionByName(alone_so_far.select("text", "place")))
-        heads = seen.groupBy("head").agg(
-            F.sum("fresh").alias("fresh"), F.sum("n").alias("held"), F.count("*").alias("bodies"), F.max(F.col("n") == 1).alias("open")
-        )
-        self.noted.append(heads.where("fresh > 0 and bodies > 1").drop("fresh"))
+        self.noted.append(noted(seen).where("fresh > 0 and bodies > 1").drop("fresh"))
 
     def spans(self, texts: DataFrame, text: str = "text", last: int | None = None) -> DataFrame:
         """(number, tag, spans): per text its repeated strings as spans (start, end) in order, as far as the ``last`` scans tell.
@@ -226,12 +240,15 @@ class Family:
         since = 0 if last is None else max(len(self.whole) - last, 0)
         place = [F.expr(TAG).alias("tag"), F.expr(FIRST).alias("start"), F.expr(f"{FIRST} + {LENGTH} + {WINDOW}").alias("end")]
         whole = together(self.whole[since:]).select("text", *place)
-        # a head's last note is the one that holds most suffixes
-        several = together(self.noted[since:]).groupBy("head").agg(F.max(F.struct("held", "bodies", "open")).alias("at"))
-        several = several.where("at.open").select("head", "at.bodies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         bodies = together([level for _, level in self.levels])
-        bodies = (summed(bodies) if len(self.levels) > 1 else bodies).withColumn("salt", F.pmod("body", F.lit(SALTS)).cast("int"))
-        wanted = bodies.join(several, ["head", "salt"]).select("head", "body", "n", "bodies", "text", "place")
+        bodies = summed(bodies) if len(self.levels) > 1 else bodies
+        if since:  # a head's last note is the one that holds most suffixes
+            notes = together(self.noted[since:]).groupBy("head").agg(F.max(F.struct("held", "bodies", "open")).alias("at")).select("head", "at.*")
+        else:  # the last notes of all heads are those of the family as it is
+            notes = noted(bodies)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        several = notes.where("bodies > 1 and open").select("head", "bodies", salts)
+        wanted = bodies.join(several, ["head", "salt"]).select(*WANTED)
         parts = stored(cut_out(texts, wanted, text))
         pieces = whole.unionByName(compared(parts.where(F.col("bodies") <= GROUP)))
         if parts.where(F.col("bodies") > GROUP).take(1):
@@ -240,21 +257,23 @@ class Family:
         return pieces.groupBy("text", "tag").agg(spans).withColumnRenamed("text", "number")
 
     def save(self, folder: str) -> None:
-        """Write the family's tables below ``folder`` (a new one), the number of its batches last."""
+        """Write the family's tables below ``folder`` (a new one), the numbers of its batches and buckets last."""
         for size, level in self.levels:
-            level.write.parquet(f"{folder}/level-{size}")
-        for k, (whole, noted) in enumerate(zip(self.whole, self.noted)):
+            array(level, f"{folder}/level-{size}")
+        for k, (whole, notes) in enumerate(zip(self.whole, self.noted)):
             whole.write.parquet(f"{folder}/whole-{k}")
-            noted.write.parquet(f"{folder}/noted-{k}")
+            notes.write.parquet(f"{folder}/noted-{k}")
         spark = self.levels[0][1].sparkSession
-        spark.range(len(self.whole), len(self.whole) + 1, numPartitions=1).write.parquet(f"{folder}/batches")
+        numbers = spark.range(1).select(F.lit(len(self.whole)).alias("batches"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))).alias("buckets"))
+        numbers.coalesce(1).write.parquet(f"{folder}/numbers")
 
     @classmethod
     def opened(cls, spark: SparkSession, folder: str) -> Family:
         """A saved family. Its levels are the powers of two that make up the number of its batches."""
         family, read = cls(), lambda name: spark.read.parquet(f"{folder}/{name}")
-        n = read("batches").first()[0]
-        family.levels = [(1 << k, read(f"level-{1 << k}")) for k in reversed(range(n.bit_length())) if n >> k & 1]
+        n, buckets = read("numbers").first()
+        sizes = [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
+        family.levels = [(size, in_buckets(spark, f"{folder}/level-{size}", ENTRY, ["head", "salt"], ["head", "body"], buckets)) for size in sizes]
         family.whole = [read(f"whole-{k}") for k in range(n)]
         family.noted = [read(f"noted-{k}") for k in range(n)]
         return family
