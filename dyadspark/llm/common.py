@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadspark.session import scratch_path
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,26 +39,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             start = stop
 
 
-def bucketed(df: DataFrame, keys: list[str], order: list[str], buckets: int, folder: str | None = None) -> DataFrame:
-    """A table written to the shared folder in buckets of ``keys``, sorted by ``order``, and read back.
-
-    Unions, joins by the keys, and groups by them (and more) need no shuffle of such tables. All rows of one key lie in
-    one bucket, so no key may have a large share.
-    """
-    name = f"dyadspark_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*order)
-    writer.option("path", folder or scratch_path(df.sparkSession, "buckets")).saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
-def in_buckets(spark: SparkSession, folder: str, schema: str, keys: list[str], order: list[str], buckets: int) -> DataFrame:
-    """A table that ``bucketed`` wrote, maybe in another session."""
-    name = f"dyadspark_{uuid.uuid4().hex}"
-    kept = f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
-    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet {kept} LOCATION '{folder}'")
-    return spark.table(name)
-
-
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])  # the bytes of white space: U+0020 and U+0009 to U+000D
 
 
